@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracemill.llm.homoglyph import look_classes, lookalike_pairs
+from tracemill.llm.runs import collapse_runs
+from tracemill.llm.splits import record_entities, related_groups, split_of
 from tracemill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +31,28 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     """Class of look-alikes of every document."""
     return look_classes(table(spark, d, "documents"))
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Longest runs of at least two neighbouring events that are the same."""
+    return collapse_runs(table(spark, d, "trajectory_row")).where("n_rows >= 2").select("task_id", "run_no", "first_line_no", "last_line_no")
+
+
+@query
+def p3_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Every run collapsed into one event with its count and duration."""
+    return collapse_runs(table(spark, d, "trajectory_row"))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The group of every record that hangs together with others."""
+    return related_groups(record_entities(table(spark, d, "verify_result"), table(spark, d, "dpo_sample"))).select("record_type", "record_id", "group_task_id")
+
+
+@query
+def p5_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Train, validation or test of every record; a group is never parted."""
+    g = related_groups(record_entities(table(spark, d, "verify_result"), table(spark, d, "dpo_sample")))
+    return g.select("record_type", "record_id", "group_task_id", split_of(F.col("group_id")).alias("split"))
