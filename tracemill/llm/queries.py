@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm.homoglyph import look_classes, lookalike_pairs
+from tracemill.llm.leaks import find_leaks
 from tracemill.llm.runs import collapse_runs
 from tracemill.llm.splits import record_entities, related_groups, split_of
 from tracemill.sources.tables import table
@@ -56,3 +57,15 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     """Train, validation or test of every record; a group is never parted."""
     g = related_groups(record_entities(table(spark, d, "verify_result"), table(spark, d, "dpo_sample")))
     return g.select("record_type", "record_id", "group_task_id", split_of(F.col("group_id")).alias("split"))
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold at least twelve consecutive words of a test item; the exact check keeps matches without an edit."""
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item")).where("edits = 0").select("doc_id", "item_id")
+
+
+@query
+def p6_near(spark: SparkSession, d: str) -> DataFrame:
+    """As p6_found, with passages that differ by an edit, and how much was found."""
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
