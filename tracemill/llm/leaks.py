@@ -2,8 +2,8 @@
 
 A passage is any ``min_words`` consecutive words of a test item. With an error
 budget of ``max_edits``, every passage is split into pieces so that at least
-``max_edits + 1`` whole ones lie in it; an error can spoil one piece only, so an
-exact hit of some piece is never missed. Each hit is verified: the passages
+``2 * max_edits + 1`` whole ones lie in it; an error spoils one piece, or two
+where it joins their words, so an exact hit of some piece is never missed. Each hit is verified: the passages
 around it are compared with the text by Myers' bit-parallel distance over the
 letters and digits, and at distance zero the match is extended exactly.
 
@@ -63,8 +63,8 @@ def doc_words(text: str) -> list[str]:
 
 
 def piece_words(min_words: int, max_edits: int) -> int:
-    """The longest piece of which every ``min_words`` words hold ``max_edits + 1`` whole ones, wherever pieces begin."""
-    return max(1, (min_words + 1) // (max_edits + 2))
+    """The longest piece of which every ``min_words`` words hold ``2 * max_edits + 1`` whole ones, wherever pieces begin."""
+    return max(1, (min_words + 1) // (2 * max_edits + 2))
 
 
 def myers(pattern: str, text: str, most: int) -> int:
@@ -95,6 +95,20 @@ def myers(pattern: str, text: str, most: int) -> int:
     return min(best, most + 1)
 
 
+def _goes_on(letters: str, stream: str, left: int, right: int, shift: int, k: int) -> bool:
+    """Whether, beyond one edit at either end of the exact match left..right, ``k`` more letters match."""
+    if k <= 0:
+        return True
+    at = shift + right
+    for i, j in ((1, 1), (1, 0), (0, 1)):
+        if right + i + k <= len(letters) and stream.startswith(letters[right + i : right + i + k], at + j):
+            return True
+        lo, x = left - i - k, shift + left - j - k
+        if lo >= 0 and x >= 0 and stream.startswith(letters[lo : left - i], x):
+            return True
+    return False
+
+
 class Items:
     """Test items of one block, with their pieces."""
 
@@ -111,21 +125,37 @@ class Items:
             for x in w:
                 starts.append(starts[-1] + len(x))
             n = len(self.items)
-            self.items.append((key, w, group, starts, "".join(w)))
+            begins = [i for i in range(len(group)) if i == 0 or group[i] != group[i - 1]]
+            ends = [*begins, len(group)]
+            passages = [(starts[begins[i]], starts[ends[i + min_words]]) for i in range(len(begins) - min_words + 1)]
+            self.items.append((key, w, group, starts, "".join(w), passages, min(b - a for a, b in passages)))
             for at in range(0, len(w) - p + 1, p):
                 self.pieces.setdefault(" ".join(w[at : at + p]), []).append((n, at))
         self.first = {k.split(" ", 1)[0] for k in self.pieces}
 
-    def passages(self, n: int, at: int) -> list[tuple[int, int]]:
-        """Word ranges of the passages of item ``n`` that hold the piece at ``at``."""
-        group, out = self.items[n][2], []
-        begins = [i for i in range(len(group)) if i == 0 or group[i] != group[i - 1]]
-        for k in range(len(begins) - self.min_words + 1):
-            lo = begins[k]
-            hi = begins[k + self.min_words] if k + self.min_words < len(begins) else len(group)
-            if lo <= at and at + self.size <= hi:
-                out.append((lo, hi))
-        return out
+    def passages(self, n: int, left: int, right: int) -> list[tuple[int, int]]:
+        """Letter ranges of the passages of item ``n`` that the exact match left..right reaches into; with one edit, only those it reaches the end of."""
+        all_ = self.items[n][5]
+        if self.max_edits == 1:
+            return [x for x in all_ if left <= x[0] < right or left < x[1] <= right]
+        return [x for x in all_ if x[0] < right and left < x[1]]
+
+    def _possible(self, letters: str, stream: str, begin: int, end: int, left: int, right: int, shift: int) -> bool:
+        """Whether letters begin..end may be in the text within the budget, when left..right match exactly and no further.
+
+        Each end of the exact match inside the passage is an error of its own. When that spends
+        the whole budget, the far letters on that side match at a distance of one at most.
+        """
+        spent = (left > begin) + (right < end)
+        if spent > self.max_edits:
+            return False
+        if spent == self.max_edits == 1:
+            if right < end:
+                tail = letters[max(right + 1, end - 8) : end]
+                return any(stream.startswith(tail, max(0, shift + end - len(tail) + x)) for x in (0, -1, 1))
+            tail = letters[begin : min(left - 1, begin + 8)]
+            return any(stream.startswith(tail, max(0, shift + begin + x)) for x in (0, -1, 1))
+        return True
 
     def search(self, text: str) -> list[tuple[int, int, int]]:
         """(item key, edits, words) of the items found in ``text``; words: the longest passage in full, or ``min_words`` with edits."""
@@ -139,12 +169,12 @@ class Items:
         stream, bounds = "".join(w), set(starts)
         full: dict[int, int] = {}
         later = []
-        covered: dict[int, tuple[int, int]] = {}
+        covered: dict[tuple[int, int], int] = {}
         for i, refs in hits:
             for n, at in refs:
-                _, _, group, s, letters = self.items[n]
+                _, _, group, s, letters, _, least = self.items[n]
                 d, q = starts[i], s[at]
-                if covered.get(n, (None,))[0] == d - q and q < covered[n][1]:
+                if q < covered.get((n, d - q), -1):
                     continue  # inside the match found before
                 end = q + starts[i + p] - d
                 hi = end
@@ -153,7 +183,11 @@ class Items:
                 lo = q
                 while lo > 0 and d - q + lo > 0 and letters[lo - 1] == stream[d - q + lo - 1]:
                     lo -= 1
-                covered[n] = (d - q, hi)
+                covered[n, d - q] = hi
+                if hi - lo < least:
+                    if self.max_edits and (self.max_edits > 1 or _goes_on(letters, stream, lo, hi, d - q, least - 1 - (hi - lo))):
+                        later.append((n, lo, hi, d - q))
+                    continue
                 whole: dict[int, bool] = {}
                 at_start = [k for k in range(len(group)) if lo <= s[k] and s[k + 1] <= hi]
                 while at_start and d - q + s[at_start[0]] not in bounds:
@@ -170,21 +204,18 @@ class Items:
                 if len(whole) >= self.min_words:
                     full[n] = max(full.get(n, 0), len(whole))
                 elif self.max_edits:
-                    later.append((n, at, i))
+                    later.append((n, lo, hi, d - q))
         out = [(self.items[n][0], 0, c) for n, c in full.items()]
         near: dict[int, int] = {}
-        seen = set()
-        for n, at, i in later:
+        for n, left, right, shift in later:
             if n in full or near.get(n) == 1:
                 continue
-            s, letters = self.items[n][3], self.items[n][4]
-            for lo, hi in self.passages(n, at):
-                a = starts[i] - (s[at] - s[lo])
-                if (n, lo, a) in seen:
+            letters = self.items[n][4]
+            for lo, hi in self.passages(n, left, right):
+                if not self._possible(letters, stream, lo, hi, left, right, shift):
                     continue
-                seen.add((n, lo, a))
-                part = stream[max(0, a - self.max_edits) : a + s[hi] - s[lo] + self.max_edits]
-                e = max(1, myers(letters[s[lo] : s[hi]], part, self.max_edits))
+                part = stream[max(0, shift + lo - self.max_edits) : shift + hi + self.max_edits]
+                e = max(1, myers(letters[lo:hi], part, self.max_edits))
                 if e <= self.max_edits:
                     near[n] = min(near.get(n, e), e)
                     if e == 1:
