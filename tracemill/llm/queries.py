@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.llm.diverse import varied_subset
 from tracemill.llm.homoglyph import look_classes, lookalike_pairs
 from tracemill.llm.leaks import find_leaks
 from tracemill.llm.runs import collapse_runs
@@ -69,3 +70,26 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_near(spark: SparkSession, d: str) -> DataFrame:
     """As p6_found, with passages that differ by an edit, and how much was found."""
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The largest varied subset of each pool: of each screen the smallest image."""
+    return varied_subset(table(spark, d, "image_vector")).select("pool_id", "image_id").distinct()
+
+
+@query
+def p4_selected(spark: SparkSession, d: str) -> DataFrame:
+    """``top_n`` varied images of each pool, in order of picking, with the number of images each stands for."""
+    k = table(spark, d, "selection_result").select("pool_id", F.col("top_n").cast("long").alias("k"))
+    return varied_subset(table(spark, d, "image_vector"), wanted=k)
+
+
+ORACLE["p4_found"] = """
+WITH v AS (
+  SELECT pool_id, image_id, CAST(embedding AS DOUBLE[64]) AS e FROM image_vector
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+SELECT pool_id, image_id FROM v a
+WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.pool_id = a.pool_id AND b.image_id < a.image_id AND array_cosine_distance(a.e, b.e) < 0.08)
+"""
