@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm.diverse import varied_subset
+from tracemill.llm.history import repeated_queries
 from tracemill.llm.homoglyph import look_classes, lookalike_pairs
 from tracemill.llm.leaks import find_leaks
 from tracemill.llm.runs import collapse_runs
@@ -93,3 +94,9 @@ WITH v AS (
 SELECT pool_id, image_id FROM v a
 WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.pool_id = a.pool_id AND b.image_id < a.image_id AND array_cosine_distance(a.e, b.e) < 0.08)
 """
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Queries that ask for the task of an earlier one, each with the first that asked for it."""
+    return repeated_queries(table(spark, d, "generated_query")).distinct()
