@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.llm.defects import find_defects
 from tracemill.llm.diverse import varied_subset
 from tracemill.llm.history import repeated_queries
 from tracemill.llm.homoglyph import look_classes, lookalike_pairs
@@ -100,3 +101,9 @@ WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.pool_id = a.pool_id AND b.image_id <
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Queries that ask for the task of an earlier one, each with the first that asked for it."""
     return repeated_queries(table(spark, d, "generated_query")).distinct()
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective sides of preference pairs with the kind of defect."""
+    return find_defects(table(spark, d, "dpo_sample")).distinct()
