@@ -4,8 +4,8 @@ The classifier has one logistic head per kind of defect over hashed word
 n-grams of the answer's prose and features of the pair. It is trained on a
 bounded sample of the table's own answers, taken as sound, and on defects made
 from them: answers cut off, replaced by the prompt, swapped with an answer in
-another language, refused or emptied. After a first fit, sample answers that look
-defective are left out and the fit is repeated. Each head's threshold is the one
+another language, refused or emptied. Models of either half of the sample first
+leave out answers of the other half that look defective. Each head's threshold is the one
 of best F1 on pairs that were held out. Heads whose definition can be checked
 exactly are checked afterwards; the check only takes back.
 
@@ -33,10 +33,11 @@ from tracemill.llm.homoglyph import mapping
 from tracemill.llm.leaks import fold
 
 KINDS = ["empty", "truncated", "refusal", "copies_prompt", "other_language"]
-SAMPLE = 2400
+SAMPLE = 2000
 LONGEST = 20_000
 BITS = 14
 EPOCHS = 60
+DOUBT = 0.3
 SEED = 7
 
 # Bare words that stand for no value, labels of an answer's parts, and frequent small words by language.
@@ -284,10 +285,9 @@ def _fit(rows: list[tuple[list[int], np.ndarray]], y: np.ndarray, epochs: int) -
     m = len(KINDS)
     params = [np.zeros((1 << BITS, m)), np.zeros((DENSE, m))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    weight = np.where(y == 1, 1.0, 1.0)
     for step in range(1, epochs + 1):
         z = np.add.reduceat(params[0][flat], starts) * scale + x @ params[1]
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / len(rows)
+        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(rows)
         sent = (err * scale)[owner]
         grads = [np.stack([np.bincount(flat, sent[:, k], 1 << BITS) for k in range(m)], 1) + 1e-6 * params[0], x.T @ err]
         for p, g, a, b in zip(params, grads, first, second):
@@ -307,37 +307,44 @@ def _best_threshold(s: np.ndarray, y: np.ndarray) -> float:
     return float(min(0.95, max(0.05, (s[i] + (s[i + 1] if i + 1 < len(s) else 0)) / 2)))
 
 
+def _examples(sound: list[tuple[str, str]], rng: random.Random) -> tuple[list[tuple[list[int], np.ndarray]], np.ndarray]:
+    """Features and labels of sound pairs and of the defects made from them, in random order."""
+    others = [(u, language_shares(prose(t)), t) for u, t in sound]
+    data: list[tuple[str, str, int]] = []
+    for u, t in sound:
+        data.append((u, t, -1))
+        for k, kind in enumerate(KINDS):
+            if (b := _broken(rng, kind, u, t, others)) is not None:
+                data.append((u, b, k))
+        swap = rng.choice(others)  # an answer to another prompt of the same language is no defect of language
+        mine = language_shares(m[1] if (m := _INSTRUCTION.search(u)) else u)
+        if _agree(mine, swap[1]) > 0.8:
+            data.append((u, swap[2], -1))
+    rng.shuffle(data)
+    y = np.zeros((len(data), len(KINDS)))
+    for i, (_, _, k) in enumerate(data):
+        if k >= 0:
+            y[i, k] = 1
+    return [features(u, t) for u, t, _ in data], y
+
+
 def train(sample: list[tuple[str, str]], seed: int = SEED, epochs: int = EPOCHS) -> Model:
-    """A model from (prompt, answer) pairs taken as sound."""
+    """A model from (prompt, answer) pairs taken as sound; those that a model of the other half doubts are left out."""
     rng = random.Random(seed)
     sound = [(u, t) for u, t in sample if not is_empty(t) and not stops_early(visible(t)) and not copies(u, visible(t))]
-    for again in (False, True):
-        others = [(u, language_shares(prose(t)), t) for u, t in sound]
-        data: list[tuple[str, str, int]] = []
-        for u, t in sound:
-            data.append((u, t, -1))
-            for k, kind in enumerate(KINDS):
-                if (b := _broken(rng, kind, u, t, others)) is not None:
-                    data.append((u, b, k))
-            swap = rng.choice(others)  # an answer to another prompt of the same language is no defect of language
-            mine = language_shares(m[1] if (m := _INSTRUCTION.search(u)) else u)
-            if _agree(mine, swap[1]) > 0.8:
-                data.append((u, swap[2], -1))
-        rng.shuffle(data)
-        rows = [features(u, t) for u, t, _ in data]
-        y = np.zeros((len(data), len(KINDS)))
-        for i, (_, _, k) in enumerate(data):
-            if k >= 0:
-                y[i, k] = 1
-        part = len(data) * 3 // 4
-        if not part:
-            return Model(np.zeros((1 << BITS, len(KINDS)), np.float32), np.zeros((DENSE, len(KINDS)), np.float32), np.full(len(KINDS), 0.4))
-        model = _fit(rows[:part], y[:part], epochs)
-        s = model.scores(rows[part:])
-        model.thresholds = np.array([_best_threshold(s[:, k], y[part:, k]) for k in range(len(KINDS))])
-        if not again:
-            s = model.scores([features(u, t) for u, t in sound])
-            sound = [x for x, r in zip(sound, s) if model.defect(*x, r) is None]
+    halves, kept = (sound[::2], sound[1::2]), []
+    for mine, other in (halves, halves[::-1]):
+        if mine and other:
+            rows, y = _examples(mine, rng)
+            s = _fit(rows, y, epochs).scores([features(u, t) for u, t in other])
+            kept += [x for x, r in zip(other, s) if r.max() < DOUBT]
+    rows, y = _examples(kept, rng)
+    part = len(rows) * 3 // 4
+    if not part:
+        return Model(np.zeros((1 << BITS, len(KINDS)), np.float32), np.zeros((DENSE, len(KINDS)), np.float32), np.full(len(KINDS), 0.4))
+    model = _fit(rows[:part], y[:part], epochs)
+    s = model.scores(rows[part:])
+    model.thresholds = np.array([_best_threshold(s[:, k], y[part:, k]) for k in range(len(KINDS))])
     return model
 
 
