@@ -12,6 +12,7 @@ from tracemill.llm.diverse import varied_subset
 from tracemill.llm.history import repeated_queries
 from tracemill.llm.homoglyph import look_classes, lookalike_pairs
 from tracemill.llm.leaks import find_leaks
+from tracemill.llm.mixing import mix_sources, shares_reached
 from tracemill.llm.runs import collapse_runs
 from tracemill.llm.splits import record_entities, related_groups, split_of
 from tracemill.sources.tables import table
@@ -107,3 +108,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Defective sides of preference pairs with the kind of defect."""
     return find_defects(table(spark, d, "dpo_sample")).distinct()
+
+
+@query
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Every mix as parts of documents, by shard and slot."""
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
+@query
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of every source of every mix."""
+    t = table(spark, d, "mix_target")
+    return shares_reached(mix_sources(table(spark, d, "documents"), t), t)
