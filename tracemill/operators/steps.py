@@ -10,6 +10,7 @@ from tracemill.functions.text import action_text
 from tracemill.operators.dedupe import keep_first
 
 RUN = ["task_id", "run_no"]
+SEGMENT = 4096
 
 
 def delivered_once(rows: DataFrame, run: list[str] = RUN) -> DataFrame:
@@ -17,16 +18,35 @@ def delivered_once(rows: DataFrame, run: list[str] = RUN) -> DataFrame:
     return keep_first(rows, [*run, "line_no"], ["ingested_at"])
 
 
-def merge_consecutive(rows: DataFrame, run: list[str] = RUN) -> DataFrame:
+def island_numbers(df: DataFrame, run: list[str], order: str, value: str, out: str = "group_no", segment: int = SEGMENT) -> DataFrame:
+    """``df`` with ``out``: 1, 2, ... for stretches of equal ``value`` (null equals null) in a run, by ``order``.
+
+    Windows go over segments of ``segment`` orders, so a long run is spread over tasks; what passes
+    from one segment to the next is a row per segment.
+    """
+    w = W.partitionBy(*run, "_seg").orderBy(order)
+    t = df.withColumn("_seg", F.floor(F.col(order) / F.lit(segment)))
+    t = t.withColumn("_first", F.row_number().over(w) == 1)
+    t = t.withColumn("_new", F.when(F.col("_first") | F.lag(value).over(w).eqNullSafe(F.col(value)), 0).otherwise(1))
+    s = t.groupBy(*run, "_seg").agg(F.sum("_new").alias("_n"), F.min_by(F.struct(F.col(value).alias("v")), order).alias("_head"), F.max_by(F.struct(F.col(value).alias("v")), order).alias("_tail"))
+    v = W.partitionBy(*run).orderBy("_seg")
+    before = F.lag("_tail").over(v)
+    s = s.withColumn("_open", F.when(before.isNotNull() & before["v"].eqNullSafe(F.col("_head")["v"]), 0).otherwise(1))
+    s = s.withColumn("_base", F.sum(F.col("_n") + F.col("_open")).over(v.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n"))
+    keys = [*run, "_seg"]
+    s = s.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_base")
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    t = t.withColumn("_at", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return t.join(s, on).withColumn(out, F.col("_base") + F.col("_at")).select(*df.columns, out)
+
+
+def merge_consecutive(rows: DataFrame, run: list[str] = RUN, segment: int = SEGMENT) -> DataFrame:
     """Neighbouring lines of one step_num become one step (null equals null, a later return is a new step).
 
     First response, non-empty action texts by line, last screenshot and the number of lines.
     """
-    w = W.partitionBy(*run).orderBy("line_no")
-    # an explicit row number tells the first line apart from a null before
     t = rows.select(*run, "line_no", "step_num", "response", "screenshot_file", action_text(F.col("action")).alias("act"))
-    t = t.withColumn("_new", F.when((F.row_number().over(w) > 1) & F.lag("step_num").over(w).eqNullSafe(F.col("step_num")), 0).otherwise(1))
-    t = t.withColumn("group_no", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    t = island_numbers(t, run, "line_no", "step_num", segment=segment)
     acts = F.array_sort(F.collect_list(F.when(F.col("act") != "", F.struct("line_no", "act"))))
     g = t.groupBy(*run, "group_no").agg(F.min("step_num").alias("step_num"), F.min_by("response", "line_no").alias("response"), acts.alias("_acts"), F.max_by("screenshot_file", "line_no").alias("screenshot_file"), F.count("*").alias("n_lines"))
     return g.select(*run, "group_no", "step_num", "response", F.array_join(F.transform("_acts", lambda x: x["act"]), "\n").alias("action"), "screenshot_file", "n_lines")
