@@ -42,7 +42,8 @@ def neighbour_uniqueness(df: DataFrame, pool: str, key: str, vector: str, k: int
     t, n = _blocked(cut(unit_vectors(df, pool, key, vector), "unit"), block)
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))
     left = t.select("_pool", F.col("_block").alias("_i"), other.alias("_j"), "_id", "_x")
-    right = t.select("_pool", F.col("_block").alias("_j"), other.alias("_i"), "_id", "_x")
+    fresh = [F.col(c).alias(c) for c in ("_pool", "_id", "_x")]  # attributes of their own beside those of ``left``
+    right = t.select(*fresh, F.col("_block").alias("_j"), other.alias("_i"))
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):

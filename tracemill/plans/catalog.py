@@ -1,21 +1,429 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the project's tables, each with the SQL that states the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tracemill.functions import actions, parse, render, text
+from tracemill.operators import dedupe, mining, ranks, resume, steps, tasks, vectors, verdicts
 from tracemill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "success_rate"
+FLAGSHIP = "preference_samples"
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def success_rate(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "verify_result").selectExpr("coalesce(avg(if(agent_pass,1D,0D)),0D)*100 AS success_rate")
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query, and its SQL where SQL can state it at whole tables."""
 
-QUERIES["success_rate"] = success_rate
-ORACLE["success_rate"] = "SELECT coalesce(avg(CASE WHEN agent_pass THEN 1.0 ELSE 0.0 END),0)*100 AS success_rate FROM verify_result"
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# White space as in functions.text.SPACE, spelled out for RE2.
+_WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _strip(c: str) -> str:
+    return rf"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _even(c: str) -> str:
+    return rf"regexp_replace(regexp_replace({c}, '{_WS}+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+_V = f"""v AS (SELECT *, CASE WHEN json_valid(result) THEN result END AS rj FROM (SELECT * EXCLUDE (rn) REPLACE ({_strip('task_id')} AS task_id) FROM (
+    SELECT *, row_number() OVER (PARTITION BY verify_id ORDER BY judged_at NULLS FIRST) AS rn FROM verify_result) WHERE rn = 1 AND {_strip('task_id')} <> ''))"""
+_T = """t AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY task_id, run_no, line_no ORDER BY ingested_at NULLS FIRST) AS rn FROM trajectory_row) WHERE rn = 1)"""
+_TASKS = "tasks AS (SELECT DISTINCT step, domain, task_id, config_id, instruction, provide_info, config FROM task_config)"
+_ANALYSIS = f"""CASE WHEN json_type(rj) = 'OBJECT' THEN coalesce(CASE WHEN json_type(rj, '$.agent_failure_analysis') = 'VARCHAR' THEN {_strip("json_extract_string(rj, '$.agent_failure_analysis')")} END, '') END"""
+_WEAK = f"""{_V}, first AS (SELECT step, domain, task_id, agent_pass FROM (
+    SELECT *, row_number() OVER (PARTITION BY step, domain, task_id ORDER BY verify_id) AS rn FROM v WHERE agent = 'teacher') WHERE rn = 1),
+  weak AS (SELECT s.verify_id, s.step, s.domain, s.task_id, s.instruction, {_ANALYSIS.replace('rj', 's.rj')} AS analysis
+    FROM v s JOIN first f ON s.step = f.step AND s.domain = f.domain AND s.task_id = f.task_id WHERE s.agent = 'student' AND s.agent_pass = false AND f.agent_pass)"""
+_GATE = f"""{_V}, {_TASKS}, last AS (SELECT agent, task_id AS key, agent_pass FROM (
+    SELECT *, row_number() OVER (PARTITION BY agent, task_id ORDER BY verify_id DESC) AS rn FROM v) WHERE rn = 1),
+  gated AS (SELECT m.step, m.domain, m.task_id FROM (SELECT DISTINCT step, domain, task_id FROM tasks) m
+    LEFT JOIN last tl ON tl.agent = 'teacher' AND tl.key = m.domain || '/' || m.task_id LEFT JOIN last ts ON ts.agent = 'teacher' AND ts.key = m.task_id
+    LEFT JOIN last sl ON sl.agent = 'student' AND sl.key = m.domain || '/' || m.task_id LEFT JOIN last ss ON ss.agent = 'student' AND ss.key = m.task_id
+    WHERE CASE WHEN tl.key IS NOT NULL THEN tl.agent_pass ELSE ts.agent_pass END AND (CASE WHEN sl.key IS NOT NULL THEN sl.agent_pass ELSE ss.agent_pass END) IS NOT TRUE)"""
+_CALL = r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"
+_SIDES = """sides AS (SELECT sample_id, 'chosen' AS side, chosen.content AS content FROM dpo_sample UNION ALL SELECT sample_id, 'rejected', rejected.content FROM dpo_sample)"""
+
+
+def _parsed(c: str) -> dict[str, str]:
+    return {
+        "thought": rf"CASE WHEN regexp_matches({c}, '(?s)<think>\s*(.*?)\s*</think>') THEN {_strip(rf"regexp_extract({c}, '(?s)<think>\s*(.*?)\s*</think>', 1)")} WHEN regexp_matches({c}, '(?s)^(.*?)\s*</think>') THEN {_strip(rf"regexp_extract({c}, '(?s)^(.*?)\s*</think>', 1)")} END",
+        "action": rf"CASE WHEN regexp_matches({c}, 'Action:\s*(.+)') THEN {_strip(rf"regexp_extract({c}, 'Action:\s*(.+)', 1)")} END",
+        "tool": rf"CASE WHEN len(regexp_extract_all({c}, '{_CALL}', 1)) > 0 THEN regexp_extract_all({c}, '{_CALL}', 1) END",
+    }
+
+
+_LABELS = f"""{_SIDES}, calls AS (SELECT sample_id, side, {_parsed('content')['tool']} AS tool FROM sides),
+  used AS (SELECT sample_id, side, row_number() OVER (PARTITION BY sample_id, side ORDER BY pos) AS pos, j, json_extract_string(j, '$.arguments.action') AS act
+    FROM (SELECT sample_id, side, unnest(tool) AS j, generate_subscripts(tool, 1) AS pos FROM calls)
+    WHERE json_valid(j) AND json_extract_string(j, '$.name') = 'computer_use' AND json_type(j, '$.arguments') = 'OBJECT' AND json_extract_string(j, '$.arguments.action') IS DISTINCT FROM 'wait'),
+  n AS (SELECT c.sample_id, bool_and(c.tool IS NOT NULL) AS known, (SELECT count(*) FROM used u WHERE u.sample_id = c.sample_id AND u.side = 'rejected') AS ns, (SELECT count(*) FROM used u WHERE u.sample_id = c.sample_id AND u.side = 'chosen') AS nt FROM calls c GROUP BY c.sample_id),
+  zipped AS (SELECT s.sample_id, CASE WHEN s.act IS DISTINCT FROM t.act THEN 'diff_action'
+      WHEN s.act IN ('wait', 'terminate', 'scroll') THEN 'exact_match'
+      WHEN s.act = 'key' THEN CASE WHEN json_extract(s.j, '$.arguments.keys') IS NOT DISTINCT FROM json_extract(t.j, '$.arguments.keys') THEN 'exact_match' ELSE 'diff_param' END
+      WHEN s.act = 'type' THEN CASE WHEN json_extract_string(s.j, '$.arguments.text') IS NOT DISTINCT FROM json_extract_string(t.j, '$.arguments.text') THEN 'exact_match' ELSE 'diff_param' END
+      WHEN s.act IN ('left_click', 'double_click', 'right_click', 'mouse_move', 'triple_click', 'left_click_drag') THEN
+        CASE WHEN json_extract(s.j, '$.arguments.coordinate') IS NULL AND json_extract(t.j, '$.arguments.coordinate') IS NULL
+          OR abs(CAST(json_extract(s.j, '$.arguments.coordinate[0]') AS DOUBLE) - CAST(json_extract(t.j, '$.arguments.coordinate[0]') AS DOUBLE)) <= 20 AND abs(CAST(json_extract(s.j, '$.arguments.coordinate[1]') AS DOUBLE) - CAST(json_extract(t.j, '$.arguments.coordinate[1]') AS DOUBLE)) <= 20
+        THEN 'exact_match' ELSE 'diff_param' END
+      ELSE 'exact_match' END AS label
+    FROM used s JOIN used t ON s.sample_id = t.sample_id AND s.pos = t.pos AND s.side = 'rejected' AND t.side = 'chosen'),
+  labels AS (SELECT n.sample_id, CASE WHEN NOT known THEN NULL WHEN ns = 0 OR nt = 0 THEN 'action_wait' WHEN ns <> nt THEN 'diff_len'
+      WHEN (SELECT bool_and(label = 'exact_match') FROM zipped z WHERE z.sample_id = n.sample_id) THEN 'exact_match'
+      WHEN (SELECT bool_or(label = 'diff_action') FROM zipped z WHERE z.sample_id = n.sample_id) THEN 'diff_action' ELSE 'diff_param' END AS label FROM n),
+  learned AS (SELECT sample_id, label, CASE WHEN label = 'diff_param' THEN 'learn_param' WHEN label IN ('diff_action', 'diff_len') THEN 'learn_action' END AS learn_type FROM labels)"""
+
+
+def _verdicts(s: SparkSession, d: str) -> DataFrame:
+    return verdicts.task_records(dedupe.keep_first(table(s, d, "verify_result"), ["verify_id"], ["judged_at"]))
+
+
+def _weak(s: SparkSession, d: str) -> DataFrame:
+    v = _verdicts(s, d)
+    w = verdicts.weakness_pairs(v.where("agent = 'student'"), v.where("agent = 'teacher'"), ["step", "domain", "task_id"], ["verify_id"])
+    return w.select("verify_id", "step", "domain", "task_id", "instruction", text.judge_verdict(F.col("result"))["failure_analysis"].alias("analysis"))
+
+
+def _tasks(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "task_config").select("step", "domain", "task_id", "config_id", "instruction", "provide_info", "config").distinct()
+
+
+def _gated(s: SparkSession, d: str) -> DataFrame:
+    v = _verdicts(s, d)
+    return verdicts.gate(_tasks(s, d).select("step", "domain", "task_id").distinct(), v.where("agent = 'teacher'"), v.where("agent = 'student'"), ["verify_id"])
+
+
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    return steps.delivered_once(table(s, d, "trajectory_row"))
+
+
+def _sides(s: SparkSession, d: str) -> DataFrame:
+    both = F.array(F.struct(F.lit("chosen").alias("side"), F.col("chosen.content").alias("content")), F.struct(F.lit("rejected").alias("side"), F.col("rejected.content").alias("content")))
+    return table(s, d, "dpo_sample").select("sample_id", F.explode(both).alias("_s")).select("sample_id", "_s.side", "_s.content")
+
+
+def _labelled(s: SparkSession, d: str) -> DataFrame:
+    calls = lambda c: parse.decoded_calls(parse.tool_calls(F.col(f"{c}.content")))
+    t = table(s, d, "dpo_sample").withColumn("label", actions.classify_calls(calls("rejected"), calls("chosen")))
+    return t.withColumn("learned", actions.learn_type(F.col("label")))
+
+
+def _joined(c: Column, sep: str = "|") -> Column:
+    """An array as text; null items show as ``~``."""
+    return F.array_join(c, sep, "~")
+
+
+@query(f"WITH {_T} SELECT task_id, run_no, count(*) AS n_lines, count(action) AS n_actions, min(line_no) AS first_line, max(line_no) AS last_line FROM t GROUP BY ALL")
+def delivered_lines(s: SparkSession, d: str) -> DataFrame:
+    """Lines per run, each counted once however often it was delivered."""
+    return _lines(s, d).groupBy("task_id", "run_no").agg(F.count("*").alias("n_lines"), F.count("action").alias("n_actions"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+
+
+@query(rf"""WITH {_T}, f AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND lag(step_num) OVER w IS NOT DISTINCT FROM step_num THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY task_id, run_no ORDER BY line_no)),
+  g AS (SELECT *, CAST(sum(new) OVER (PARTITION BY task_id, run_no ORDER BY line_no) AS BIGINT) AS group_no FROM f)
+SELECT task_id, run_no, group_no, coalesce(min(step_num), -1) AS step_num, (list(response ORDER BY line_no))[1] AS response,
+  coalesce(string_agg(regexp_replace(action, '\s', '', 'g'), '' ORDER BY line_no), '') AS action, (list(screenshot_file ORDER BY line_no))[-1] AS screenshot_file, count(*) AS n_lines FROM g GROUP BY ALL""")
+def merged_steps(s: SparkSession, d: str) -> DataFrame:
+    """Neighbouring lines of one step merged; white space of the joined actions is left out to compare."""
+    return steps.merge_consecutive(_lines(s, d)).withColumn("action", F.regexp_replace("action", r"\s", "")).na.fill(-1, ["step_num"])
+
+
+@query(f"""WITH {_T} SELECT task_id, run_no, CAST(coalesce(step_num, 0) AS BIGINT) AS step, (list(response ORDER BY line_no))[1] AS response, string_agg(coalesce(action, '~'), '|' ORDER BY line_no) AS actions, (list(screenshot_file ORDER BY line_no))[-1] AS screenshot_file FROM t GROUP BY ALL""")
+def grouped_steps(s: SparkSession, d: str) -> DataFrame:
+    """All lines of a step number in one step."""
+    return steps.group_by_step(_lines(s, d)).withColumn("actions", _joined(F.col("actions")))
+
+
+_STEPS = f"""{_T}, s AS (SELECT task_id, run_no, CAST(coalesce(step_num, 0) AS BIGINT) AS step, (list(response ORDER BY line_no))[1] AS response, (list(screenshot_file ORDER BY line_no))[-1] AS screenshot_file FROM t GROUP BY ALL)"""
+
+
+@query(f"WITH {_STEPS} SELECT task_id, run_no, step, lag(screenshot_file, 1, screenshot_file) OVER (PARTITION BY task_id, run_no ORDER BY step) AS input_screenshot FROM s")
+def step_inputs(s: SparkSession, d: str) -> DataFrame:
+    """The screenshot each step begins with."""
+    return steps.input_screenshot(steps.group_by_step(_lines(s, d))).select("task_id", "run_no", "step", "input_screenshot")
+
+
+@query(f"WITH {_STEPS} SELECT task_id, run_no, step, coalesce(array_to_string(list(coalesce(response, '')) OVER (PARTITION BY task_id, run_no ORDER BY step ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '|'), '') AS history FROM s")
+def step_history(s: SparkSession, d: str) -> DataFrame:
+    """The last four responses before each step."""
+    return steps.history(steps.group_by_step(_lines(s, d)), 4).select("task_id", "run_no", "step", _joined(F.col("history")).alias("history"))
+
+
+def _instructions(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "generated_query").select("domain", text.normalize_space(F.col("instruction")).alias("instruction"), "query_id", "rationale").where("instruction <> ''")
+
+
+def _dedupe_sql(order: str) -> str:
+    return f"SELECT domain, instruction, query_id, rationale FROM (SELECT *, row_number() OVER (PARTITION BY domain, instruction ORDER BY query_id {order}) AS rn FROM (SELECT domain, {_even('instruction')} AS instruction, query_id, rationale FROM generated_query) WHERE instruction <> '') WHERE rn = 1"
+
+
+@query(_dedupe_sql("ASC"))
+def keep_first_instructions(s: SparkSession, d: str) -> DataFrame:
+    """Of instructions that are the same but for white space, the first."""
+    return dedupe.keep_first(_instructions(s, d), ["domain", "instruction"], ["query_id"])
+
+
+@query(_dedupe_sql("DESC"))
+def keep_last_instructions(s: SparkSession, d: str) -> DataFrame:
+    """As before, the last."""
+    return dedupe.keep_last(_instructions(s, d), ["domain", "instruction"], ["query_id"])
+
+
+@query(f"SELECT domain, instruction, min(p) AS pos FROM (SELECT domain, {_even('instruction')} AS instruction, query_id AS p FROM generated_query UNION ALL SELECT domain, {_even('instruction')}, 0 FROM task_config) WHERE instruction <> '' GROUP BY ALL")
+def known_instructions(s: SparkSession, d: str) -> DataFrame:
+    """Ordered distinct union of the configurations' and the generated instructions."""
+    g = table(s, d, "generated_query").select("domain", "instruction", F.col("query_id").alias("pos"))
+    t = table(s, d, "task_config").select("domain", "instruction", F.lit(0).cast("bigint").alias("pos"))
+    return mining.distinct_instructions(g.unionByName(t), ["domain"], "instruction", "pos")
+
+
+@query(f"WITH {_SIDES} SELECT sample_id, side, CAST(coalesce(len(tool), -1) AS BIGINT) AS n_calls, CAST(coalesce(len(list_filter(tool, lambda x: json_valid(x))), -1) AS BIGINT) AS n_decoded, array_to_string(tool, '|') AS calls FROM (SELECT sample_id, side, {_parsed('content')['tool']} AS tool FROM sides)")
+def tool_calls(s: SparkSession, d: str) -> DataFrame:
+    """Calls of each side, raw and decoded; -1 and null where there is none."""
+    t = _sides(s, d).withColumn("tool", parse.tool_calls(F.col("content")))
+    n = lambda c: F.when(c.isNotNull(), F.size(c).cast("bigint")).otherwise(-1)
+    return t.select("sample_id", "side", n(F.col("tool")).alias("n_calls"), n(parse.decoded_calls(F.col("tool"))).alias("n_decoded"), _joined(F.col("tool")).alias("calls"))
+
+
+@query(f"WITH {_SIDES} SELECT sample_id, side, {_parsed('content')['thought']} AS thought, {_parsed('content')['action']} AS action FROM sides")
+def thoughts_and_actions(s: SparkSession, d: str) -> DataFrame:
+    """Think block and action line of each side."""
+    c = F.col("content")
+    return _sides(s, d).select("sample_id", "side", parse.thought(c).alias("thought"), parse.action_line(c).alias("action"))
+
+
+@query()
+def parsed_responses(s: SparkSession, d: str) -> DataFrame:
+    """Each side parsed, with the intent split for answers that have a call alone (its pattern looks behind, which SQL's does not)."""
+    return _sides(s, d).withColumn("p", parse.parse_response(F.col("content"))).select("sample_id", "side", "p.thought", "p.action", _joined(F.col("p.tool")).alias("tool"))
+
+
+@query(f"WITH {_LABELS} SELECT sample_id, label, learn_type FROM learned")
+def pair_labels(s: SparkSession, d: str) -> DataFrame:
+    """Where the calls of both sides differ and what there is to learn."""
+    return _labelled(s, d).select("sample_id", "label", F.col("learned").alias("learn_type"))
+
+
+@query(f"WITH {_LABELS} SELECT coalesce(learn_type, 'none') AS learn_type, count(*) AS n FROM learned GROUP BY ALL")
+def learn_type_counts(s: SparkSession, d: str) -> DataFrame:
+    """Pairs by what there is to learn."""
+    return _labelled(s, d).groupBy(F.coalesce("learned", F.lit("none")).alias("learn_type")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_WEAK} SELECT * FROM weak")
+def weakness_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Student rows that failed where the teacher passed (strict gate)."""
+    return _weak(s, d)
+
+
+@query(f"WITH {_GATE} SELECT * FROM gated")
+def preference_gate(s: SparkSession, d: str) -> DataFrame:
+    """Tasks the teacher passed and the student did not (loose gate)."""
+    return _gated(s, d)
+
+
+@query(f"""WITH {_WEAK}, c AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY verify_id) AS case_no FROM weak)
+SELECT domain, case_no, '[Case ' || case_no || ']' || chr(10) || 'task_id: ' || task_id || chr(10) || 'instruction: ' || coalesce(instruction, '') || chr(10) || 'student_failure_analysis: ' || coalesce(analysis, '') AS case_text FROM c""")
+def case_texts(s: SparkSession, d: str) -> DataFrame:
+    """Numbered cases of the weakness report, a row each."""
+    n = ranks.number_rows(_weak(s, d), ["domain", "verify_id"], "_n")
+    first = n.groupBy("domain").agg(F.min("_n").alias("_first"))
+    c = n.join(first, "domain").withColumn("case_no", F.col("_n") - F.col("_first") + 1)
+    return c.select("domain", "case_no", render.case_text(F.col("case_no"), F.col("task_id"), F.col("instruction"), F.col("analysis")).alias("case_text"))
+
+
+@query(rf"""WITH {_V} SELECT verify_id, CASE WHEN result IS NULL THEN 'none' WHEN json_type(rj) = 'OBJECT' THEN CASE WHEN json_type(rj, '$.agent_pass') = 'BOOLEAN' THEN json_extract_string(rj, '$.agent_pass') ELSE 'none' END ELSE 'false' END AS agent_pass,
+  {_ANALYSIS} AS failure_analysis, coalesce(CAST(CASE WHEN result IS NOT NULL THEN coalesce(json_type(rj), '') <> 'OBJECT' END AS VARCHAR), 'none') AS parse_error,
+  {_strip(rf"regexp_replace(regexp_replace({_strip('result')}, '(?i)^```(json)?{_WS}*', ''), '{_WS}*```$', '')")} AS unfenced,
+  CASE WHEN len(string_split({_strip('result')}, chr(10))) >= 3 AND starts_with({_strip('result')}, '```') AND {_strip(f"string_split({_strip('result')}, chr(10))[-1]")} = '```' THEN array_to_string(string_split({_strip('result')}, chr(10))[2:-2], chr(10)) ELSE {_strip('result')} END AS unblocked FROM v""")
+def judge_verdicts(s: SparkSession, d: str) -> DataFrame:
+    """Judges' texts under the three fence policies."""
+    j = text.judge_verdict(F.col("result"))
+    return _verdicts(s, d).select("verify_id", F.coalesce(j["agent_pass"].cast("string"), F.lit("none")).alias("agent_pass"), j["failure_analysis"].alias("failure_analysis"), F.coalesce(j["parse_error"].cast("string"), F.lit("none")).alias("parse_error"), text.strip_fence(F.col("result")).alias("unfenced"), text.strip_block_fence(F.col("result")).alias("unblocked"))
+
+
+@query(f"""WITH {_V}, a AS (SELECT verify_id, list_sort(attempt_results) AS a FROM v WHERE len(attempt_results) > 0), f AS (SELECT *, coalesce(list_position(list_transform(a, lambda x: x.agent_pass IS NOT TRUE), true), 0) AS p FROM a)
+SELECT verify_id, p = 0 AS agent_pass, CAST(CASE WHEN p > 0 THEN p ELSE len(a) END AS BIGINT) AS num_attempts, a[CASE WHEN p > 0 THEN p ELSE len(a) END].result AS result FROM f""")
+def votes(s: SparkSession, d: str) -> DataFrame:
+    """The vote over recorded attempts, stopped at the first that does not pass."""
+    return _verdicts(s, d).withColumn("v", verdicts.vote(F.col("attempt_results"))).where("v IS NOT NULL").select("verify_id", "v.agent_pass", "v.num_attempts", "v.result")
+
+
+@query(f"WITH {_V} SELECT agent, step, count(*) AS n, round(avg(CASE WHEN agent_pass THEN 1.0 ELSE 0.0 END), 9) AS mean_score, round(avg(CASE WHEN agent_pass THEN 1.0 ELSE 0.0 END) * 100, 7) AS success_rate FROM v GROUP BY ALL")
+def success_rates(s: SparkSession, d: str) -> DataFrame:
+    """Share of passes by agent and step; no verdict counts as 0."""
+    return verdicts.success_rate(_verdicts(s, d), F.when(F.col("agent_pass"), "1").otherwise("0"), ["agent", "step"])
+
+
+@query(f"WITH {_V}, {_TASKS} SELECT DISTINCT step, domain, task_id FROM tasks t WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.agent = 'student' AND v.agent_pass IS NOT NULL AND v.task_id = t.task_id)")
+def unfinished_tasks(s: SparkSession, d: str) -> DataFrame:
+    """Tasks without a verdict on the student."""
+    done = _verdicts(s, d).where("agent = 'student' AND agent_pass IS NOT NULL")
+    return resume.unfinished(_tasks(s, d).select("step", "domain", "task_id").distinct(), done, ["task_id"])
+
+
+@query(f"WITH {_V}, {_TASKS} SELECT DISTINCT step, domain, task_id, EXISTS (SELECT 1 FROM v WHERE v.error IS NULL AND v.task_id = t.task_id) AS reused FROM tasks t")
+def cache_split(s: SparkSession, d: str) -> DataFrame:
+    """Tasks and whether a result without an error can be reused."""
+    return resume.cache_split(_tasks(s, d).select("step", "domain", "task_id").distinct(), _verdicts(s, d).where("error IS NULL"), ["task_id"])
+
+
+@query(f"WITH {_V}, {_TASKS} SELECT DISTINCT task_id FROM tasks WHERE task_id NOT IN (SELECT task_id FROM v)")
+def missing_results(s: SparkSession, d: str) -> DataFrame:
+    """Tasks that no result names as they are spelled."""
+    return resume.missing(_tasks(s, d), _verdicts(s, d), ["task_id"])
+
+
+_PATH = r"/home/user(?:/[\w.\-+]+)+(?:\.[a-zA-Z0-9]+)?"
+_PATHS = rf"""{_TASKS}, c AS (SELECT step, domain, task_id, config_id, instruction, provide_info, unnest(config) AS c FROM tasks),
+  a AS (SELECT *, CASE WHEN json_valid(c.parameters.command) AND json_type(c.parameters.command) = 'ARRAY' THEN from_json(c.parameters.command, '["VARCHAR"]') END AS args FROM c),
+  p AS (SELECT step, domain, task_id, config_id, unnest(list_transform(c.parameters.files, lambda f: f.path)) AS path FROM a WHERE c.type = 'download'
+    UNION ALL SELECT step, domain, task_id, config_id, unnest(list_filter(args[2:], lambda x: starts_with(x, '/') OR starts_with(x, '~'))) FROM a WHERE c.type = 'launch' AND len(args) >= 2
+    UNION ALL SELECT step, domain, task_id, config_id, unnest(regexp_extract_all(array_to_string(args, ' '), '{_PATH}')) FROM a WHERE c.type IN ('command', 'execute')
+    UNION ALL SELECT step, domain, task_id, config_id, unnest(regexp_extract_all(array_to_string(provide_info, chr(10)), '{_PATH}')) FROM tasks),
+  d AS (SELECT t.step, t.domain, t.task_id, t.instruction, (SELECT string_agg(DISTINCT path, '|' ORDER BY path) FROM p WHERE p.step = t.step AND p.task_id = t.task_id AND p.domain = t.domain AND path <> '') AS paths,
+    coalesce((SELECT bool_or(a.c.type = 'launch' AND coalesce(len(a.args), -1) = 1) FROM a WHERE a.step = t.step AND a.task_id = t.task_id AND a.domain = t.domain), false) AS bare_launch,
+    coalesce(nullif(array_to_string(list_filter(t.provide_info, lambda x: {_strip('x')} <> ''), chr(10)), ''), '(empty)') AS info FROM tasks t)"""
+
+
+def _declared(s: SparkSession, d: str) -> DataFrame:
+    t = _tasks(s, d)
+    return t.select("step", "domain", "task_id", "instruction", mining.declared_paths(F.col("config"), F.col("provide_info")).alias("paths"), mining.bare_launch(F.col("config")).alias("bare_launch"), render.info_text(F.col("provide_info")).alias("info"))
+
+
+@query(f"WITH {_PATHS} SELECT step, domain, task_id, coalesce(paths, '') AS paths, bare_launch, info FROM d")
+def declared_paths(s: SparkSession, d: str) -> DataFrame:
+    """Paths that tasks declare, whether a program starts bare, and the information given."""
+    return _declared(s, d).select("step", "domain", "task_id", _joined(F.col("paths")).alias("paths"), "bare_launch", "info")
+
+
+@query(f"""WITH {_PATHS} SELECT step, domain, task_id, 'Write 3 new desktop tasks for ' || domain || '.' || chr(10) || 'Cover what earlier tasks leave out.' || chr(10) || chr(10) || 'Information:' || chr(10) || info || chr(10) || chr(10)
+  || CASE WHEN paths IS NOT NULL THEN 'Files in place:' || chr(10) || '- ' || replace(paths, '|', chr(10) || '- ') ELSE 'No file is put in place; a task must not name one.' END || CASE WHEN bare_launch THEN chr(10) || 'A program starts without a file.' ELSE '' END
+  || chr(10) || chr(10) || 'Earlier tasks:' || chr(10) || coalesce(instruction, '') || chr(10) || chr(10) || 'Answer with a JSON object that has a list "queries".' AS prompt FROM d""")
+def generation_prompts(s: SparkSession, d: str) -> DataFrame:
+    """Prompts for new tasks on the ground of each configuration."""
+    t = _declared(s, d)
+    w = render.workspace_text(F.col("paths"), F.col("bare_launch"))
+    return t.select("step", "domain", "task_id", render.generation_prompt(F.col("domain"), F.col("info"), w, F.col("instruction"), F.lit(None).cast("string")).alias("prompt"))
+
+
+@query("SELECT query_id, coalesce(nullif(reference_config_id, ''), nullif(config_id, '')) AS config_id FROM generated_query WHERE coalesce(nullif(reference_config_id, ''), nullif(config_id, '')) IS NOT NULL")
+def fallback_ids(s: SparkSession, d: str) -> DataFrame:
+    """The configuration a query refers to, else its block's."""
+    return table(s, d, "generated_query").select("query_id", tasks.config_id(F.col("reference_config_id"), F.col("config_id")).alias("config_id")).where("config_id IS NOT NULL")
+
+
+@query("SELECT query_id, 'task' || row_number() OVER (ORDER BY query_id) AS task_id, domain, instruction FROM generated_query WHERE instruction <> ''")
+def numbered_tasks(s: SparkSession, d: str) -> DataFrame:
+    """Tasks numbered over all queries that have an instruction."""
+    return tasks.numbered_tasks(table(s, d, "generated_query"), ["query_id"]).select("query_id", "task_id", "domain", "instruction")
+
+
+@query("SELECT query_id, 0 AS pos, instruction FROM generated_query WHERE trim(instruction) <> '' UNION ALL SELECT query_id, 1, rationale FROM generated_query WHERE trim(rationale) <> '' UNION ALL SELECT query_id, 2, config_file FROM generated_query WHERE trim(config_file) <> ''")
+def document_instructions(s: SparkSession, d: str) -> DataFrame:
+    """Instructions found in documents of all three shapes."""
+    q = lambda c: F.struct(F.array(F.struct(F.col(c).alias("instruction"))).alias("queries"))
+    doc = F.to_json(F.struct("instruction", q("rationale").alias("parsed"), F.array(F.struct(q("config_file").alias("parsed"))).alias("per_config")), {"ignoreNullFields": "false"})
+    return mining.document_instructions(table(s, d, "generated_query").select("query_id", doc.alias("doc")), ["query_id"], "doc")
+
+
+@query(f"WITH {_TASKS} SELECT step, domain, CAST((row_number() OVER (PARTITION BY step, domain ORDER BY task_id) - 1) // 10000 AS BIGINT) AS chunk, task_id FROM (SELECT DISTINCT step, domain, task_id FROM tasks)".replace("SELECT step, domain, CAST", "SELECT step, domain, chunk, string_agg(task_id, '|' ORDER BY task_id) AS task_ids FROM (SELECT step, domain, CAST", 1) + ") GROUP BY ALL")
+def manifests(s: SparkSession, d: str) -> DataFrame:
+    """Task ids per step and domain, in chunks."""
+    m = tasks.manifest(_tasks(s, d).select("step", "domain", "task_id").distinct(), ["step", "domain"])
+    return m.select("step", "domain", "chunk", _joined(F.col("task_ids")).alias("task_ids"))
+
+
+@query("SELECT domain, CAST(row_number() OVER (PARTITION BY domain ORDER BY task_id) - 1 AS INTEGER) AS pos, task_id FROM (SELECT DISTINCT domain, task_id FROM task_config)")
+def manifest_tasks(s: SparkSession, d: str) -> DataFrame:
+    """Manifests written as documents and read back as rows."""
+    m = tasks.manifest(table(s, d, "task_config").select("domain", "task_id").distinct(), ["domain"])
+    docs = m.select("chunk", F.to_json(F.create_map("domain", "task_ids")).alias("doc"))
+    rows = tasks.manifest_rows(docs.withColumn("doc", F.col("doc")), "doc")
+    return rows
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT n_nationkey, lower(n_name), n_regionkey FROM nation WHERE n_regionkey = 1")
+def registry_upsert(s: SparkSession, d: str) -> DataFrame:
+    """Entries of a registry put in place of those of the same key."""
+    n = table(s, d, "nation")
+    new = n.where("n_regionkey = 1").withColumn("n_name", F.lower("n_name"))
+    return tasks.upsert(n, new, "n_nationkey").select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("SELECT doc_id, CAST(ntile(7) OVER (ORDER BY doc_id) AS BIGINT) AS shard FROM documents")
+def balanced_shards(s: SparkSession, d: str) -> DataFrame:
+    """Documents in seven contiguous shards."""
+    return ranks.balanced_shards(table(s, d, "documents").select("doc_id"), ["doc_id"], 7)
+
+
+_X = "x AS (SELECT pool_id, image_id, CAST(embedding AS DOUBLE[64]) AS e FROM image_vector WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"
+
+
+@query(f"""WITH {_X}, p AS (SELECT a.pool_id, a.image_id, CASE WHEN b.image_id IS NOT NULL THEN array_cosine_distance(a.e, b.e) END AS dist FROM x a LEFT JOIN x b ON a.pool_id = b.pool_id AND a.image_id <> b.image_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY pool_id, image_id ORDER BY dist) AS rn FROM p) SELECT pool_id, image_id, round(coalesce(avg(dist), 0), 6) + 0.0 AS uniqueness FROM r WHERE rn <= 20 GROUP BY ALL""")
+def neighbour_uniqueness(s: SparkSession, d: str) -> DataFrame:
+    """Mean distance of each image to the twenty nearest of its pool."""
+    return vectors.neighbour_uniqueness(table(s, d, "image_vector"), "pool_id", "image_id", "embedding").withColumn("uniqueness", F.round("uniqueness", 6) + F.lit(0.0))
+
+
+@query()
+def diverse_images(s: SparkSession, d: str) -> DataFrame:
+    """``top_n`` farthest images of each pool, by uniqueness."""
+    n = table(s, d, "selection_result").select("pool_id", F.col("top_n").cast("bigint").alias("n"))
+    return vectors.diverse_samples(table(s, d, "image_vector"), n, "pool_id", "image_id", "embedding").withColumn("uniqueness", F.round("uniqueness", 6))
+
+
+@query(r"""SELECT pool_id, row_number() OVER (PARTITION BY pool_id ORDER BY ord) AS pos, index FROM (
+  SELECT pool_id, index, min(ord) AS ord FROM (SELECT pool_id, num_total_images AS total, CAST(regexp_extract(unnest(selected_paths), 'shot_(\d+)', 1) AS BIGINT) AS index, generate_subscripts(selected_paths, 1) AS ord FROM selection_result) WHERE index >= 0 AND index < total GROUP BY ALL)""")
+def valid_selections(s: SparkSession, d: str) -> DataFrame:
+    """Chosen screenshot numbers in range, each once."""
+    t = table(s, d, "selection_result").withColumn("indices", F.transform("selected_paths", lambda p: F.regexp_extract(p, r"shot_(\d+)", 1).try_cast("bigint")))
+    return vectors.valid_indices(t, ["pool_id"], "indices", "num_total_images")
+
+
+_USER = "'<image>' || chr(10) || 'Look at the screenshot, the instruction and the earlier moves, then give the next move.' || chr(10) || chr(10) || 'Instruction: ' || coalesce(g.instruction, '') || chr(10) || chr(10) || 'Previous actions:' || chr(10) || 'None'"
+
+
+def _content(c: str) -> str:
+    p = _parsed(c)
+    return f"'<think>' || coalesce({p['thought']}, '') || chr(10) || '</think>' || chr(10) || chr(10) || 'Action: ' || coalesce({p['action']}, '') || chr(10) || coalesce(array_to_string(list_transform({p['tool']}, lambda x: '<tool_call>' || chr(10) || x || chr(10) || '</tool_call>'), chr(10)), '')"
+
+
+@query(rf"""WITH {_GATE}, {_LABELS.replace('n AS (', 'cnt AS (').replace('FROM n)', 'FROM cnt)').replace('n.sample_id', 'cnt.sample_id').replace('calls c GROUP BY c.sample_id)', 'calls c GROUP BY c.sample_id)')},
+  named AS (SELECT d.sample_id, d.chosen, d.rejected, regexp_extract(d.images[1], '^.*/(seed|iter\d+)_(.+)_step\d+_input\.png$', 2) AS task_id, d.images[1] AS image FROM dpo_sample d WHERE d.images[1] IS NOT NULL),
+  inst AS (SELECT g.step, g.task_id, min(t.instruction) AS instruction FROM gated g JOIN tasks t ON t.step = g.step AND t.domain = g.domain AND t.task_id = g.task_id GROUP BY ALL)
+SELECT n.sample_id, n.task_id, l.learn_type, {_USER} AS prompt, {_content('n.chosen.content')} AS chosen, {_content('n.rejected.content')} AS rejected, n.image
+FROM named n JOIN inst g ON g.task_id = n.task_id JOIN learned l ON l.sample_id = n.sample_id WHERE l.learn_type IS NOT NULL
+  AND NOT ({_parsed('n.chosen.content')['thought']} IS NULL AND {_parsed('n.chosen.content')['action']} IS NULL) AND NOT ({_parsed('n.rejected.content')['thought']} IS NULL AND {_parsed('n.rejected.content')['action']} IS NULL)""")
+def preference_samples(s: SparkSession, d: str) -> DataFrame:
+    """Preference samples end to end: gated tasks, parsed and compared sides, rendered prompt and answers.
+
+    Answers without tag and action line are left out here, where the intent split, which SQL cannot state, would be used.
+    """
+    g = _gated(s, d).join(_tasks(s, d), ["step", "domain", "task_id"]).groupBy("step", "task_id").agg(F.min("instruction").alias("instruction"))
+    t = _labelled(s, d).where("learned IS NOT NULL").withColumn("image", F.get("images", F.lit(0)))
+    t = t.withColumn("task_id", F.regexp_extract("image", r"^.*/(seed|iter\d+)_(.+)_step\d+_input\.png$", 2)).join(g, "task_id")
+    for c in ("chosen", "rejected"):
+        t = t.withColumn(f"_{c}", parse.parse_response(F.col(f"{c}.content")))
+        bare = parse.thought(F.col(f"{c}.content")).isNull() & parse.action_line(F.col(f"{c}.content")).isNull()
+        t = t.where(~bare)
+    r = render.preference_sample(F.col("instruction"), F.col("image"), F.col("_chosen"), F.col("_rejected"), F.col("learned"))
+    t = t.withColumn("r", r)
+    return t.select("sample_id", "task_id", F.col("r.learn_type").alias("learn_type"), F.col("r.conversations")[1]["content"].alias("prompt"), F.col("r.chosen.content").alias("chosen"), F.col("r.rejected.content").alias("rejected"), F.col("r.images")[0].alias("image"))
