@@ -36,6 +36,7 @@ from tracemill.session import cut
 
 BLOCK = 512
 SLOTS = 64
+SHARDS_A_TASK, SHARDS_AT_ONCE = 48, 64
 BUCKET_ROWS = 20_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER_BYTES = 16 << 20
@@ -180,23 +181,37 @@ def slots(spark, mixes: dict[str, list[tuple[str, int, int]]], seed: int = 0, pe
 
     def draw(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for mix, shard in zip(pdf["mix"], pdf["shard"]):
-                name, parts = sent.value[mix]
-                counts = np.array([k for _, _, k in parts], dtype=np.int64)
-                key = xxhash.xxh64_intdigest(f"{seed}/{name}")
-                first, here = shard_counts(counts, int(shard), per_shard, key)
-                rows = []
-                for (source, n, _), a, c in zip(parts, first, here):
-                    k = np.arange(a, a + c)
-                    for p in np.unique(k // n):
-                        j = k[k // n == p] % n
-                        rows.append(pd.DataFrame({"source": source, "block_no": permuted(j, n, f"{seed}/{name}/{source}/{p}"), "repeat_no": p}))
-                out = pd.concat(rows, ignore_index=True)
-                order = np.random.default_rng([key, int(shard), 1]).permutation(len(out))
-                yield out.assign(mix_name=name, shard=shard, slot=order)[["mix_name", "shard", "slot", "source", "block_no", "repeat_no"]]
+            for a in range(0, len(pdf), SHARDS_AT_ONCE):
+                parts: dict[str, list] = {c: [] for c in ("mix", "shard", "slot", "source", "block_no", "repeat_no")}
+                for mix, shard in zip(pdf["mix"].iloc[a : a + SHARDS_AT_ONCE], pdf["shard"].iloc[a : a + SHARDS_AT_ONCE]):
+                    name, sources = sent.value[mix]
+                    key = xxhash.xxh64_intdigest(f"{seed}/{name}")
+                    first, here = shard_counts(np.array([k for _, _, k in sources], dtype=np.int64), int(shard), per_shard, key)
+                    for i, (source, n, _) in enumerate(sources):
+                        k = np.arange(first[i], first[i] + here[i])
+                        for p in np.unique(k // n):
+                            j = k[k // n == p] % n
+                            parts["block_no"].append(permuted(j, n, f"{seed}/{name}/{source}/{p}"))
+                            parts["repeat_no"].append(np.full(len(j), p))
+                            parts["source"].append(np.full(len(j), i))
+                    size = int(here.sum())
+                    parts["slot"].append(np.random.default_rng([key, int(shard), 1]).permutation(size))
+                    parts["mix"].append(np.full(size, mix))
+                    parts["shard"].append(np.full(size, shard))
+                if not parts["mix"]:
+                    continue
+                out = {c: np.concatenate(v) for c, v in parts.items()}
+                yield pd.DataFrame({
+                    "mix_name": [sent.value[m][0] for m in out["mix"]], "shard": out["shard"], "slot": out["slot"],
+                    "source": [sent.value[m][1][i][0] for m, i in zip(out["mix"], out["source"])], "block_no": out["block_no"], "repeat_no": out["repeat_no"],
+                })
 
     schema = "mix_name string, shard bigint, slot bigint, source string, block_no bigint, repeat_no bigint"
-    return spark.createDataFrame([], schema) if ids is None else ids.repartition("mix", "shard").mapInPandas(draw, schema)
+    if ids is None:
+        return spark.createDataFrame([], schema)
+    # a row of ids stands for a shard's work, which its bytes don't show: the number of tasks is set here
+    shards = sum(-(-sum(k for _, _, k in parts) // per_shard) for parts in mixes.values())
+    return ids.repartition(max(1, -(-shards // SHARDS_A_TASK)), "mix", "shard").mapInPandas(draw, schema)
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 0, block: int = BLOCK, tokenizer: str = TOKENIZER) -> DataFrame:
