@@ -46,7 +46,7 @@ def raw_documents(spark: SparkSession, path: str, name_glob: str = "*.json", obj
     """(path, stem, json) of whole files that are JSON, objects only by default; others drop out. A missing folder raises."""
     if not exists(spark, path):
         raise SourceError(f"{path} is missing")
-    t = spark.read.option("wholetext", True).option("pathGlobFilter", name_glob).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
+    t = spark.read.option("pathGlobFilter", name_glob).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
     v = F.try_parse_json("json")
     t = t.where(F.schema_of_variant(v).startswith("OBJECT") if objects_only else v.isNotNull())
     return t.withColumn("stem", stem(F.col("path"))).select("path", "stem", "json")
@@ -68,7 +68,7 @@ def json_lines(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
     A malformed line raises when strict, and drops out otherwise. Files are read whole, so that
     lines have their number in the file.
     """
-    t = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "json")).where(strip(F.col("json")) != "")
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "json")).where(strip(F.col("json")) != "")
     ok = F.try_parse_json("json").isNotNull()
     if not strict:
         return t.where(ok)
@@ -85,10 +85,10 @@ def trajectories(spark: SparkSession, path: str, strict: bool = False) -> DataFr
 
 def discovered_tasks(spark: SparkSession, path: str, file: str = "traj.jsonl") -> DataFrame:
     """(task_id) of the folders below ``path`` that hold ``file``, in text order."""
-    if not exists(spark, f"{path}/*/{file}"):
-        return spark.createDataFrame([], "task_id STRING")
-    t = spark.read.format("binaryFile").load(f"{path}/*/{file}").select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("task_id"))
-    return t.distinct().orderBy("task_id")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/*/{file}")
+    # a listing, as for any scan; a scan itself would pass over empty files
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []
+    return spark.createDataFrame([(f.getPath().getParent().getName(),) for f in found], "task_id STRING").orderBy("task_id")
 
 
 def verify_results(spark: SparkSession, path: str, missing_ok: bool = True) -> DataFrame:
@@ -100,7 +100,7 @@ def verify_results(spark: SparkSession, path: str, missing_ok: bool = True) -> D
         if missing_ok:
             return spark.createDataFrame([], f"pos INT, {schemas.VERIFY_RESULT}")
         raise SourceError(f"{path} is missing")
-    t = spark.read.option("wholetext", True).text(path)
+    t = spark.read.text(path, wholetext=True)
     v = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
     bad = F.raise_error(F.lit(f"{path} is no list")).cast("array<variant>")
     t = t.select(F.posexplode(F.when(v.isNotNull(), v).otherwise(bad)).alias("pos", "v"))
@@ -111,7 +111,7 @@ def verify_results(spark: SparkSession, path: str, missing_ok: bool = True) -> D
 
 def screenshot_paths(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """(pos, path) of a JSON list of paths; strict strips and raises on items that are no text, lenient drops them."""
-    t = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("pos", "v"))
+    t = spark.read.text(path, wholetext=True).select(F.posexplode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("pos", "v"))
     s = F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string"))
     ok = F.coalesce(strip(s) != "", F.lit(False))
     if not strict:
@@ -136,7 +136,7 @@ def image_bytes(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 def scores(spark: SparkSession, path: str) -> DataFrame:
     """(task_id, score) of ``{task_id}/result.txt`` files; text that is no number is 0."""
-    t = spark.read.option("wholetext", True).text(path)
+    t = spark.read.text(path, wholetext=True)
     return t.select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("task_id"), F.coalesce(strip(F.col("value")).try_cast("double"), F.lit(0.0)).alias("score"))
 
 
@@ -145,7 +145,7 @@ def cached_results(spark: SparkSession, path: str) -> DataFrame:
     empty = spark.createDataFrame([], f"pos INT, {schemas.VERIFY_RESULT}")
     if not exists(spark, path):
         return empty
-    ok = spark.read.option("wholetext", True).text(path).where(F.schema_of_variant(F.try_parse_json("value")).startswith("ARRAY"))
+    ok = spark.read.text(path, wholetext=True).where(F.schema_of_variant(F.try_parse_json("value")).startswith("ARRAY"))
     return empty if ok.isEmpty() else verify_results(spark, path)
 
 
