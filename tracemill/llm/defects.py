@@ -79,7 +79,7 @@ _REFUSED = {
 
 _CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
-_NAME = re.compile(r"\S*[_\d/\\]\S*|\S+\.\w{1,5}\b|[\"“”«][^\"“”»\n]{0,80}[\"“”»]")
+_NAME = re.compile(r"[!-~]*[_\d/\\][!-~]*|[!-~]+\.[A-Za-z]\w{0,4}\b|[\"“”«][^\"“”»\n]{0,80}[\"“”»]")
 _INSTRUCTION = re.compile(r"Instruction:\s*(.*?)(?:\n\s*\n|\n\s*Previous actions:|\Z)", re.S)
 
 

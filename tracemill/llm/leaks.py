@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.homoglyph import one_form
+from tracemill.llm.homoglyph import LOOKALIKES, one_form
 
 MIN_WORDS = 12
 MAX_EDITS = 1
@@ -35,11 +35,15 @@ _WORD = re.compile(r"[^\W_]+")
 _MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|&(?:nbsp|amp|lt|gt|quot|#\d+);")
 
 
+# Small letters too stand for the Latin letter their capital is drawn like, so that case and script can be folded in one go.
+_FOLDED = str.maketrans({c.lower(): p.lower() for c, p in LOOKALIKES.items() if c.isupper() and c != "Ν"} | {c: p.lower() for c, p in LOOKALIKES.items() if not c.isupper()})
+
+
 def fold(text: str) -> str:
-    """Lower case, one form, compatibility forms, no accents' variants undone."""
+    """Letter case, widths and other compatibility forms, look-alike letters and invisible characters set aside; accents stay."""
     if text.isascii():
         return text.lower()
-    return one_form(unicodedata.normalize("NFKC", one_form(text))).lower()
+    return one_form(unicodedata.normalize("NFKC", text).replace("Ν", "N").lower().translate(_FOLDED))
 
 
 def words(text: str) -> tuple[list[str], list[int]]:
