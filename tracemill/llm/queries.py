@@ -15,10 +15,10 @@ from tracemill.llm.leaks import find_leaks
 from tracemill.llm.mixing import mix_sources, shares_reached
 from tracemill.llm.runs import collapse_runs
 from tracemill.llm.splits import record_entities, related_groups, split_of
+from tracemill.llm.sql import ORACLE as ORACLE
 from tracemill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -88,15 +88,6 @@ def p4_selected(spark: SparkSession, d: str) -> DataFrame:
     return varied_subset(table(spark, d, "image_vector"), wanted=k)
 
 
-ORACLE["p4_found"] = """
-WITH v AS (
-  SELECT pool_id, image_id, CAST(embedding AS DOUBLE[64]) AS e FROM image_vector
-  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
-SELECT pool_id, image_id FROM v a
-WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.pool_id = a.pool_id AND b.image_id < a.image_id AND array_cosine_distance(a.e, b.e) < 0.08)
-"""
-
 
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
