@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +56,18 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context, so that their Python finds it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tracemill_shipped", False):
+        return
+    here, folder = Path(__file__).resolve().parent, tempfile.mkdtemp(prefix="tracemill-code-")
+    atexit.register(shutil.rmtree, folder, True)  # served from here as long as the driver lives
+    path = Path(folder, "tracemill.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    sc.addPyFile(str(path))
+    sc._tracemill_shipped = True
