@@ -28,7 +28,7 @@ from tracemill.session import cut
 
 NEAR = 0.08
 BLOCK = 1024
-NOMINEES = 512
+NOMINEES = 2048
 INDEPENDENT = 1e-6
 
 
