@@ -53,7 +53,7 @@ SMALL_WORDS = {
     "nl": "de het een en of maar niet geen is zijn was waren wordt worden heeft hebben ik jij hij zij wij u mijn uw dit dat deze die in op aan van voor met naar bij uit over om door als dan nog al nu hier daar moet kan mag eerst voordat omdat",
     "pl": "i w na z do nie to się jest są był była być a ale lub od po za o przez dla jak że który która co już jeszcze teraz tutaj trzeba może przed gdy jeśli ten ta te",
 }
-_SMALL = {k: frozenset(v.split()) for k, v in SMALL_WORDS.items()}
+_LANGUAGES_OF = {w: [k for k, v in SMALL_WORDS.items() if w in v.split()] for v in SMALL_WORDS.values() for w in v.split()}
 _SCRIPTS = [("zh", re.compile(r"[㐀-鿿]")), ("ja", re.compile(r"[぀-ヿ]")), ("ko", re.compile(r"[가-힣]")), ("ru", re.compile(r"[Ѐ-ӿ]")), ("el", re.compile(r"[Ͱ-Ͽ]")), ("ar", re.compile(r"[؀-ۿ]")), ("he", re.compile(r"[֐-׿]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("th", re.compile(r"[฀-๿]"))]
 
 # Refusals for training: an opening, a statement and a close, put together at random.
@@ -120,16 +120,16 @@ def language_shares(text: str) -> dict[str, float]:
     """Share of the words of ``text`` that tell a language, by language; names, numbers and quotes are set aside."""
     t = _NAME.sub(" ", text)
     out: dict[str, float] = {}
-    for k, r in _SCRIPTS:
-        if n := len(r.findall(t)):
-            out[k] = n / (2 if k in ("zh", "ja", "ko") else 5)
-    if "ja" in out:
-        out["ja"] += out.pop("zh", 0)
-    w = [x for x in _WORD.findall(t.lower().replace("’", "'")) if x.isalpha() or "'" in x]
-    parts = [p for x in w for p in x.split("'")]
-    for k, small in _SMALL.items():
-        if n := sum(p in small for p in parts):
-            out[k] = float(n)
+    if not t.isascii():
+        for k, r in _SCRIPTS:
+            if n := len(r.findall(t)):
+                out[k] = n / (2 if k in ("zh", "ja", "ko") else 5)
+        if "ja" in out:
+            out["ja"] += out.pop("zh", 0)
+    for w in _WORD.findall(t.lower().replace("’", "'")):
+        for p in w.split("'") if "'" in w else (w,):
+            for k in _LANGUAGES_OF.get(p, ()):
+                out[k] = out.get(k, 0.0) + 1
     total = sum(out.values())
     return {k: v / total for k, v in out.items()} if total else {}
 
@@ -148,11 +148,18 @@ def is_empty(text: str | None) -> bool:
     return not t or t in NO_VALUE
 
 
+@lru_cache(maxsize=256)
+def _prompt(user: str) -> tuple[dict[str, float], frozenset[str]]:
+    """(language shares of the instruction, words of the prompt)."""
+    m = _INSTRUCTION.search(user)
+    return language_shares(m[1] if m else user), frozenset(_WORD.findall(fold(user).replace("_", " ")))
+
+
 def _own_words(user: str, text: str) -> tuple[int, int]:
     """(words of the answer, those of them that are not in the prompt); wait calls aside."""
     good = _CALL.sub(lambda m: " " if re.search(r'"action"\s*:\s*"wait"', m[1]) else m[0], text)
     w = _WORD.findall(fold(LABELS.sub(" ", good)).replace("_", " "))
-    known = set(_WORD.findall(fold(user).replace("_", " ")))
+    known = _prompt(user)[1]
     return len(w), sum(x not in known for x in w)
 
 
@@ -177,8 +184,7 @@ def features(user: str | None, text: str | None) -> tuple[list[int], np.ndarray]
     p = prose(t)
     good, bad, is_open, args = calls(t)
     n, own = _own_words(user, t)
-    m = _INSTRUCTION.search(user)
-    asked = language_shares(m[1] if m else user)
+    asked = _prompt(user)[0]
     said = language_shares(p)
     agree = _agree(asked, said)
     told = sum(asked.values()) > 0 and sum(said.values()) > 0
@@ -234,7 +240,7 @@ def _broken(rng: random.Random, kind: str, user: str, text: str, others: list[tu
         a = rng.choice([asked, asked.upper(), asked.replace('"', "'").replace(",", ""), f"{asked}\n\n{asked}\n", user, user.replace("<image>\n", ""), "Instruction: " + asked.rstrip(".")])
         return a if rng.random() < 0.5 else _layout(rng, asked, asked, wait)
     if kind == "refusal":
-        known = language_shares(asked)
+        known = _prompt(user)[0]
         lang = max(known, key=known.get) if known else "en"
         if lang in _REFUSED and rng.random() < 0.85 or rng.random() < 0.06:
             a = rng.choice(_REFUSED[lang if lang in _REFUSED else rng.choice(list(_REFUSED))])
@@ -245,7 +251,7 @@ def _broken(rng: random.Random, kind: str, user: str, text: str, others: list[tu
             a = a[0].upper() + a[1:] + rng.choice(_CLOSE)
         wait = rng.choice(["", wait, '{"name": "computer_use", "arguments": {"action": "terminate", "status": "failure"}}'])
         return a if rng.random() < 0.45 else _layout(rng, a, a, wait)
-    mine = language_shares(asked)
+    mine = _prompt(user)[0]
     for _ in range(20):
         _, theirs, other = rng.choice(others)
         if _agree(mine, theirs) < 0.3 and mine and theirs:
@@ -311,21 +317,25 @@ def _examples(sound: list[tuple[str, str]], rng: random.Random) -> tuple[list[tu
     """Features and labels of sound pairs and of the defects made from them, in random order."""
     others = [(u, language_shares(prose(t)), t) for u, t in sound]
     data: list[tuple[str, str, int]] = []
-    for u, t in sound:
+    langs = [max(a, key=a.get) if (a := _prompt(u)[0]) else "" for u, _ in sound]
+    usual = max(set(langs), key=langs.count) if langs else ""
+    for (u, t), lang in zip(sound, langs):
         data.append((u, t, -1))
         for k, kind in enumerate(KINDS):
-            if (b := _broken(rng, kind, u, t, others)) is not None:
-                data.append((u, b, k))
+            # prompts in less usual languages are few, so each is swapped more often
+            for _ in range(4 if kind == "other_language" and lang != usual else 1):
+                if (b := _broken(rng, kind, u, t, others)) is not None:
+                    data.append((u, b, k))
         swap = rng.choice(others)  # an answer to another prompt of the same language is no defect of language
-        mine = language_shares(m[1] if (m := _INSTRUCTION.search(u)) else u)
-        if _agree(mine, swap[1]) > 0.8:
+        if _agree(_prompt(u)[0], swap[1]) > 0.8:
             data.append((u, swap[2], -1))
-    rng.shuffle(data)
-    y = np.zeros((len(data), len(KINDS)))
-    for i, (_, _, k) in enumerate(data):
+    rows = [(features(u, t), k) for u, t, k in data]  # in order of prompts, whose parts are kept for a while
+    rng.shuffle(rows)
+    y = np.zeros((len(rows), len(KINDS)))
+    for i, (_, k) in enumerate(rows):
         if k >= 0:
             y[i, k] = 1
-    return [features(u, t) for u, t, _ in data], y
+    return [x for x, _ in rows], y
 
 
 def train(sample: list[tuple[str, str]], seed: int = SEED, epochs: int = EPOCHS) -> Model:
@@ -336,7 +346,7 @@ def train(sample: list[tuple[str, str]], seed: int = SEED, epochs: int = EPOCHS)
     for mine, other in (halves, halves[::-1]):
         if mine and other:
             rows, y = _examples(mine, rng)
-            s = _fit(rows, y, epochs).scores([features(u, t) for u, t in other])
+            s = _fit(rows, y, epochs // 2).scores([features(u, t) for u, t in other])
             kept += [x for x, r in zip(other, s) if r.max() < DOUBT]
     rows, y = _examples(kept, rng)
     part = len(rows) * 3 // 4
