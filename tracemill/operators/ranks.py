@@ -23,9 +23,8 @@ def number_rows(df: DataFrame, order: list[str], out: str = "n", start: int = 1)
 
 def balanced_shards(df: DataFrame, order: list[str], shards: int, out: str = "shard") -> DataFrame:
     """Contiguous shards 1..``shards``; the first of them get one row more when it does not come out even."""
-    n = number_rows(df, order, "_n", 0)
-    total = df.agg(F.count("*").alias("_total"))  # one row
-    size, more = F.floor(F.col("_total") / shards), F.col("_total") % shards
+    n, total = number_rows(df, order, "_n", 0), df.count()
+    size, more = divmod(total, shards)
     cut_at = (size + 1) * more
-    shard = F.when(F.col("_n") < cut_at, F.floor(F.col("_n") / (size + 1))).otherwise(more + F.floor((F.col("_n") - cut_at) / F.greatest(size, F.lit(1))))
-    return n.crossJoin(F.broadcast(total)).withColumn(out, (shard + 1).cast("bigint")).drop("_n", "_total")
+    shard = F.when(F.col("_n") < cut_at, F.floor(F.col("_n") / (size + 1))).otherwise(more + F.floor((F.col("_n") - cut_at) / max(size, 1)))
+    return n.withColumn(out, (shard + 1).cast("bigint")).drop("_n")
