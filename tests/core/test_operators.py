@@ -73,6 +73,8 @@ def test_tasks(spark):
     q = spark.createDataFrame([('{"reference_config_id": null}',), ('{"reference_config_id": ""}',), ("{}",), ('{"reference_config_id": "r", "targets_student_gaps": ["g"]}',)], "q string")
     assert [r.r for r in q.select(tasks.default_reference(F.col("q"), F.lit("block")).alias("r")).collect()] == [None, "", "block", "r"]
     assert q.select(tasks.without_gaps(F.col("q")).alias("r")).collect()[3].r == '{"reference_config_id":"r"}'
+    nested = spark.createDataFrame([('{"a": [1, {"b": null}], "targets_student_gaps": [], "n": null}',)], "q string")
+    assert nested.select(tasks.without_gaps(F.col("q")).alias("r")).first().r == '{"a":[1,{"b":null}],"n":null}'
     ids = spark.createDataFrame([(None, "b"), ("", "b"), ("a", "b"), ("", "")], "r string, o string")
     assert [r.c for r in ids.select(tasks.config_id(F.col("r"), F.col("o")).alias("c")).collect()] == ["b", "b", "a", None]
     queries = spark.createDataFrame([(2, "f1", "c", "do b"), (1, "f2", "c", "do a"), (3, "f1", "c", "")], "o int, config_file string, config_id string, instruction string")

@@ -24,7 +24,7 @@ def config_id(reference: Column, own: Column) -> Column:
 
 def without_gaps(query: Column) -> Column:
     """A query's JSON without ``targets_student_gaps``."""
-    kept = F.map_filter(F.from_json(query, "map<string,string>"), lambda k, _: k != "targets_student_gaps")
+    kept = F.map_filter(F.from_json(query, "map<string,variant>"), lambda k, _: k != "targets_student_gaps")
     return F.to_json(kept)
 
 
