@@ -13,7 +13,7 @@ from tracemill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "preference_samples"
+FLAGSHIP = "preference_samples_whole"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -406,6 +406,22 @@ def _content(c: str) -> str:
     return f"'<think>' || coalesce({p['thought']}, '') || chr(10) || '</think>' || chr(10) || chr(10) || 'Action: ' || coalesce({p['action']}, '') || chr(10) || coalesce(array_to_string(list_transform({p['tool']}, lambda x: '<tool_call>' || chr(10) || x || chr(10) || '</tool_call>'), chr(10)), '')"
 
 
+def _paired(s: SparkSession, d: str) -> DataFrame:
+    """Samples with something to learn, their first image and the task it names."""
+    t = _labelled(s, d).where("learned IS NOT NULL").withColumn("image", F.get("images", F.lit(0)))
+    return t.withColumn("task_id", F.regexp_extract("image", r"^.*/(seed|iter\d+)_(.+)_step\d+_input\.png$", 2))
+
+
+def _rendered(pairs: DataFrame, gated: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Pairs of gated tasks, as prompt and answers."""
+    g = gated.join(tasks, ["step", "domain", "task_id"]).groupBy("step", "task_id").agg(F.min("instruction").alias("instruction"))
+    t = pairs.join(g, "task_id")
+    for c in ("chosen", "rejected"):
+        t = t.withColumn(f"_{c}", parse.parse_response(F.col(f"{c}.content")))
+    t = t.withColumn("r", render.preference_sample(F.col("instruction"), F.col("image"), F.col("_chosen"), F.col("_rejected"), F.col("learned")))
+    return t.select("sample_id", "task_id", F.col("r.learn_type").alias("learn_type"), F.col("r.conversations")[1]["content"].alias("prompt"), F.col("r.chosen.content").alias("chosen"), F.col("r.rejected.content").alias("rejected"), F.col("r.images")[0].alias("image"))
+
+
 @query(rf"""WITH {_GATE}, {_LABELS.replace('n AS (', 'cnt AS (').replace('FROM n)', 'FROM cnt)').replace('n.sample_id', 'cnt.sample_id').replace('calls c GROUP BY c.sample_id)', 'calls c GROUP BY c.sample_id)')},
   named AS (SELECT d.sample_id, d.chosen, d.rejected, regexp_extract(d.images[1], '^.*/(seed|iter\d+)_(.+)_step\d+_input\.png$', 2) AS task_id, d.images[1] AS image FROM dpo_sample d WHERE d.images[1] IS NOT NULL),
   inst AS (SELECT g.step, g.task_id, min(t.instruction) AS instruction FROM gated g JOIN tasks t ON t.step = g.step AND t.domain = g.domain AND t.task_id = g.task_id GROUP BY ALL)
@@ -413,17 +429,14 @@ SELECT n.sample_id, n.task_id, l.learn_type, {_USER} AS prompt, {_content('n.cho
 FROM named n JOIN inst g ON g.task_id = n.task_id JOIN learned l ON l.sample_id = n.sample_id WHERE l.learn_type IS NOT NULL
   AND NOT ({_parsed('n.chosen.content')['thought']} IS NULL AND {_parsed('n.chosen.content')['action']} IS NULL) AND NOT ({_parsed('n.rejected.content')['thought']} IS NULL AND {_parsed('n.rejected.content')['action']} IS NULL)""")
 def preference_samples(s: SparkSession, d: str) -> DataFrame:
-    """Preference samples end to end: gated tasks, parsed and compared sides, rendered prompt and answers.
-
-    Answers without tag and action line are left out here, where the intent split, which SQL cannot state, would be used.
-    """
-    g = _gated(s, d).join(_tasks(s, d), ["step", "domain", "task_id"]).groupBy("step", "task_id").agg(F.min("instruction").alias("instruction"))
-    t = _labelled(s, d).where("learned IS NOT NULL").withColumn("image", F.get("images", F.lit(0)))
-    t = t.withColumn("task_id", F.regexp_extract("image", r"^.*/(seed|iter\d+)_(.+)_step\d+_input\.png$", 2)).join(g, "task_id")
+    """What SQL can state of ``preference_samples_whole``: answers without tag and action line, which take the intent split, are left out."""
+    t = _paired(s, d)
     for c in ("chosen", "rejected"):
-        t = t.withColumn(f"_{c}", parse.parse_response(F.col(f"{c}.content")))
-        bare = parse.thought(F.col(f"{c}.content")).isNull() & parse.action_line(F.col(f"{c}.content")).isNull()
-        t = t.where(~bare)
-    r = render.preference_sample(F.col("instruction"), F.col("image"), F.col("_chosen"), F.col("_rejected"), F.col("learned"))
-    t = t.withColumn("r", r)
-    return t.select("sample_id", "task_id", F.col("r.learn_type").alias("learn_type"), F.col("r.conversations")[1]["content"].alias("prompt"), F.col("r.chosen.content").alias("chosen"), F.col("r.rejected.content").alias("rejected"), F.col("r.images")[0].alias("image"))
+        t = t.where(~(parse.thought(F.col(f"{c}.content")).isNull() & parse.action_line(F.col(f"{c}.content")).isNull()))
+    return _rendered(t, _gated(s, d), _tasks(s, d))
+
+
+@query()
+def preference_samples_whole(s: SparkSession, d: str) -> DataFrame:
+    """Preference samples end to end: gated tasks, parsed and compared sides, rendered prompt and answers; answers without tag and action line are parted by their intent (its pattern looks behind, which SQL's does not)."""
+    return _rendered(_paired(s, d), _gated(s, d), _tasks(s, d))
