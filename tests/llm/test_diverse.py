@@ -70,3 +70,23 @@ def test_edges(spark):
     got = {(r.pool_id, r.image_id, r.n_near) for r in varied_subset(df).collect()}
     assert {x for x in got if x[0] == 1} == {(1, 7, 2), (1, 9, 1)}
     assert varied_subset(df.limit(0)).count() == 0
+
+
+def test_wanted_goes_past_the_screens(spark):
+    rng = np.random.default_rng(2)
+    sizes = {1: [12, 1, 6, 3], 2: [40, 20], 3: [2, 1]}
+    rows = [(pool, i, v) for pool, each in sizes.items() for i, v in screens(rng, len(each), each.__getitem__)]
+    rng.shuffle(rows)
+    screen = {k: (p, i) for k, (p, i, _) in enumerate(rows)}
+    df = spark.createDataFrame([(int(p), k, v, 0) for k, (p, _, v) in enumerate(rows)], SCHEMA)
+    wanted = spark.createDataFrame([(1, 20), (2, 30), (3, 20)], "pool_id long, k long")
+    for block, nominees in ((1024, 512), (8, 6)):
+        got = varied_subset(df, wanted=wanted, block=block, nominees=nominees).orderBy("pool_id", "pick_no").collect()
+        for pool, n in ((1, 20), (2, 30), (3, 3)):
+            mine = [r for r in got if r.pool_id == pool]
+            assert [r.pick_no for r in mine] == list(range(1, n + 1)) and len({r.image_id for r in mine}) == n
+            assert len({screen[r.image_id] for r in mine[: len(sizes[pool])]}) == len(sizes[pool])
+            assert all(screen[r.image_id][0] == pool for r in mine)
+            assert [r.n_near for r in mine[len(sizes[pool]) :]] == [1] * (n - len(sizes[pool]))
+        second = [screen[r.image_id] for r in got if r.pool_id == 1][4:7]
+        assert len(set(second)) == 3

@@ -5,7 +5,9 @@ rows by QR with column pivoting (the row with the largest part outside the span
 of those picked before comes next), and pairs of blocks re-pivot their nominees
 until one block is left. When the rank is used up, rows near a pick are struck
 out (deflation) and a further round begins with an empty span, inside a block
-and across the whole pool, until every row is near a pick or k are picked.
+and across the whole pool, until every row is near a pick or k are picked. A pool
+that is to give more than that goes on with deflated rounds over the struck-out
+rows not picked yet, until it has k or no row is left.
 
 At most ``BLOCK`` rows and ``NOMINEES`` nominees meet in a task; a pool with
 more different rows than that takes further rounds over the rows left. Hot pools
@@ -18,6 +20,8 @@ out; length does not count; equal rows are picked once, by the smallest id.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,14 +36,20 @@ NOMINEES = 2048
 INDEPENDENT = 1e-6
 
 
-def pivot(x: np.ndarray, near: float, most: int) -> list[int]:
+def pivot(x: np.ndarray, near: float, most: int, again: bool = False) -> list[int]:
     """Positions picked from unit rows ``x``, in order of picking.
 
-    Ties go to the first row. Rows within cosine distance ``near`` of a pick are struck out.
+    Ties go to the first row. Rows within cosine distance ``near`` of a pick are struck out; with
+    ``again``, those not picked come back once none is left.
     """
     left = np.ones(len(x), bool)
     picks: list[int] = []
-    while left.any() and len(picks) < most:
+    while len(picks) < most:
+        if again and not left.any():
+            left = np.ones(len(x), bool)
+            left[picks] = False
+        if not left.any():
+            break
         rest = np.where(left, 1.0, -1.0)  # squared part outside the span
         span = np.empty((0, x.shape[1]))
         while len(picks) < most:
@@ -57,29 +67,30 @@ def pivot(x: np.ndarray, near: float, most: int) -> list[int]:
     return picks
 
 
-def _nominate(near: float, most: int):
+def _nominate(near: float, most: int, again: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_id", kind="stable").reset_index(drop=True)
         x = np.stack(pdf["_x"].to_numpy()).astype(float)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        p = pivot(x, near, most)
-        return pdf.iloc[p].assign(_rank=np.arange(len(p), dtype="int32"))[["_pool", "_block", "_id", "_x", "_rank"]]
+        p = pivot(x, near, min(most, pdf["_most"].iloc[0]) if again else most, again)
+        return pdf.iloc[p].assign(_rank=np.arange(len(p), dtype="int32"))[["_pool", "_block", "_id", "_x", "_rank", *["_most"] * again]]
 
     return run
 
 
-def _tournament(rows: DataFrame, near: float, block: int, nominees: int) -> DataFrame:
-    """(_pool, _id, _x, _rank): the nominees of every pool after pairwise reductions of its blocks."""
+def _tournament(rows: DataFrame, near: float, block: int, nominees: int, again: bool = False) -> DataFrame:
+    """(_pool, _id, _x, _rank): the nominees of every pool after pairwise reductions of its blocks; with ``again``, ``_most`` of them and struck-out rows too."""
     size = rows.groupBy("_pool").agg(F.ceil(F.count("*") / F.lit(block)).alias("_blocks"))
     dealt = rows.join(size, "_pool").withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
     kinds = {f.name: f.dataType.simpleString() for f in dealt.schema.fields}
-    schema = f"_pool {kinds['_pool']}, _block int, _id {kinds['_id']}, _x array<double>, _rank int"
-    won = cut(dealt.select("_pool", "_block", "_id", "_x").groupBy("_pool", "_block").applyInPandas(_nominate(near, nominees), schema), "nominees")
+    more = ["_most"] if again else []
+    schema = f"_pool {kinds['_pool']}, _block int, _id {kinds['_id']}, _x array<double>, _rank int" + ", _most long" * again
+    won = cut(dealt.select("_pool", "_block", "_id", "_x", *more).groupBy("_pool", "_block").applyInPandas(_nominate(near, nominees, again), schema), "nominees")
     most = size.agg(F.max("_blocks")).first()[0] or 1
     while most > 1:
-        won = cut(won.select("_pool", F.floor(F.col("_block") / 2).cast("int").alias("_block"), "_id", "_x").groupBy("_pool", "_block").applyInPandas(_nominate(near, nominees), schema), "nominees")
+        won = cut(won.select("_pool", F.floor(F.col("_block") / 2).cast("int").alias("_block"), "_id", "_x", *more).groupBy("_pool", "_block").applyInPandas(_nominate(near, nominees, again), schema), "nominees")
         most = -(-most // 2)
-    return won.drop("_block")
+    return won.drop("_block", "_most")
 
 
 def readable(df: DataFrame, pool: str, key: str, vector: str) -> DataFrame:
@@ -111,13 +122,26 @@ def _cover(near: float):
     return run
 
 
+def _filled(rows: DataFrame, lack: DataFrame, near: float, block: int, nominees: int, done: int) -> list[DataFrame]:
+    """Parts of (_pool, _id, n_near, _order) with ``_lack`` more picks of every pool of ``lack``, from ``rows`` that are no picks yet."""
+    parts: list[DataFrame] = []
+    rows, most = cut(rows.join(lack, "_pool"), "unpicked"), lack.agg(F.max("_lack")).first()[0] or 0
+    for at in range(0, most, nominees):
+        left = rows.withColumn("_most", F.col("_lack") - F.lit(at)).where("_most > 0")
+        for x in parts:
+            left = left.join(x, ["_pool", "_id"], "left_anti")
+        parts.append(_tournament(left, near, block, nominees, True).select("_pool", "_id", F.lit(1).cast("long").alias("n_near"), (F.col("_rank") + F.lit(done + at)).alias("_order")))
+    return parts
+
+
 def varied_subset(df: DataFrame, pool: str = "pool_id", key: str = "image_id", vector: str = "embedding", near: float = NEAR, wanted: DataFrame | None = None, block: int = BLOCK, nominees: int = NOMINEES) -> DataFrame:
     """(pool, key, n_near, pick_no): picks of every pool, ``key`` the smallest id near the pick, and how many rows are near it.
 
-    ``wanted`` (pool, k) ends a pool at k picks; without it a pool goes on until every row is near a pick.
+    ``wanted`` (pool, k) gives a pool k picks, or all its readable rows if they are fewer: once every row is near a pick,
+    rows near one are picked too, and such a pick stands for itself alone (``n_near`` 1). Without it a pool ends when every row is near a pick.
     """
     names = dict(df.dtypes)
-    rows = cut(readable(df, pool, key, vector), "rows")
+    rows = every = cut(readable(df, pool, key, vector), "rows")
     parts, done = [], 0
     while not rows.isEmpty():
         picks = _tournament(rows, near, block, nominees)
@@ -134,12 +158,14 @@ def varied_subset(df: DataFrame, pool: str = "pool_id", key: str = "image_id", v
             rows = rows.join(wanted.where(F.col("k") > done).select(F.col(pool).alias("_pool")).distinct(), "_pool", "left_semi")
     if not parts:
         return df.sparkSession.createDataFrame([], f"{pool} {names[pool]}, {key} {names[key]}, n_near long, pick_no int")
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.union(x)
-    # a pool has as many picks as it shows different rows; the order is over those alone
+    out = functools.reduce(DataFrame.union, parts)
+    if wanted is not None:
+        k = wanted.groupBy(F.col(pool).alias("_pool")).agg(F.max("k").cast("long").alias("_k"))
+        out = cut(out, "picks")
+        lack = cut(out.groupBy("_pool").count().join(k, "_pool").select("_pool", (F.col("_k") - F.col("count")).alias("_lack")).where("_lack > 0"), "lack")
+        out = functools.reduce(DataFrame.union, _filled(every.join(out, ["_pool", "_id"], "left_anti"), lack, near, block, nominees, done), out)
+    # numbers of a round have gaps where a pool has fewer picks
     out = out.withColumn("pick_no", F.row_number().over(W.partitionBy("_pool").orderBy("_order")))
     if wanted is not None:
-        k = wanted.groupBy(F.col(pool).alias("_pool")).agg(F.max("k").alias("_k"))
         out = out.join(k, "_pool").where(F.col("pick_no") <= F.col("_k"))
     return out.select(F.col("_pool").alias(pool), F.col("_id").alias(key), "n_near", "pick_no")
