@@ -90,3 +90,12 @@ def test_wanted_goes_past_the_screens(spark):
             assert [r.n_near for r in mine[len(sizes[pool]) :]] == [1] * (n - len(sizes[pool]))
         second = [screen[r.image_id] for r in got if r.pool_id == 1][4:7]
         assert len(set(second)) == 3
+
+
+def test_wanted_takes_further_rounds_over_rows_that_no_pick_covers(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(1, i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(600, 4)))], SCHEMA)
+    every = {r.image_id for r in varied_subset(df, block=100).collect()}
+    wanted = spark.createDataFrame([(1, len(every))], "pool_id long, k long")
+    got = varied_subset(df, wanted=wanted, block=100).collect()
+    assert {r.image_id for r in got} == every and sum(r.n_near for r in got) == 600

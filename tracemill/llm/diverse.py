@@ -143,6 +143,8 @@ def varied_subset(df: DataFrame, pool: str = "pool_id", key: str = "image_id", v
     names = dict(df.dtypes)
     rows = every = cut(readable(df, pool, key, vector), "rows")
     parts, done = [], 0
+    if wanted is not None:
+        k = wanted.groupBy(F.col(pool).alias("_pool")).agg(F.max("k").cast("long").alias("_k"))
     while not rows.isEmpty():
         picks = _tournament(rows, near, block, nominees)
         n = rows.groupBy("_pool").agg(F.ceil(F.count("*") / F.lit(block)).alias("_blocks"))
@@ -155,12 +157,13 @@ def varied_subset(df: DataFrame, pool: str = "pool_id", key: str = "image_id", v
         rows = near_to.where("_pick < 0").select("_pool", "_id", "_x")
         done += nominees
         if wanted is not None:
-            rows = rows.join(wanted.where(F.col("k") > done).select(F.col(pool).alias("_pool")).distinct(), "_pool", "left_semi")
+            # by picks made, not by numbers given: a round seldom uses all of its ``nominees``
+            have = functools.reduce(DataFrame.union, parts).groupBy("_pool").agg(F.count("*").alias("_have"))
+            rows = rows.join(have.join(k, "_pool").where("_k > _have").select("_pool"), "_pool", "left_semi")
     if not parts:
         return df.sparkSession.createDataFrame([], f"{pool} {names[pool]}, {key} {names[key]}, n_near long, pick_no int")
     out = functools.reduce(DataFrame.union, parts)
     if wanted is not None:
-        k = wanted.groupBy(F.col(pool).alias("_pool")).agg(F.max("k").cast("long").alias("_k"))
         out = cut(out, "picks")
         lack = cut(out.groupBy("_pool").count().join(k, "_pool").select("_pool", (F.col("_k") - F.col("count")).alias("_lack")).where("_lack > 0"), "lack")
         out = functools.reduce(DataFrame.union, _filled(every.join(out, ["_pool", "_id"], "left_anti"), lack, near, block, nominees, done), out)
