@@ -41,3 +41,13 @@ def test_answers_without_tag_and_action_line_are_kept(spark, tmp_path):
     want = {i: (answer(c), answer(r)) for i, (c, r, _) in enumerate(samples[:-3])}
     assert {r.sample_id: (r.chosen, r.rejected) for r in entry.queries()["preference_samples_whole"](spark, d).collect()} == want
     assert entry.catalog.FLAGSHIP == "preference_samples_whole"
+
+
+def test_task_of_the_first_image_that_names_one(spark, tmp_path):
+    named = [r"..\images\seed_Task1_step2_input.png", "seed_Task1_step2_input.png", "/m/seed%5FTask1%5Fstep2%5Finput.png", "/m/SEED_TASK1_STEP2_INPUT.PNG", "/m/seed_Task1_step2_input.png "]
+    images = [[x] for x in named] + [["/m/shot_1.png", x] for x in named] + [[None, named[0], "/m/seed_task2_step1_input.png"]]
+    none = [["/m/shot_1.png"], [], None, ["/m/seed_task2_step1_input.png", named[0]]]
+    samples = [(CALL.format("a"), CALL.format("b"), m) for m in images + none]
+    d = tables(spark, tmp_path, samples, ((1, "teacher", "Task1", True), (2, "student", "Task1", False)), ("Task1", "task2"))
+    got = {r.sample_id: (r.task_id, r.image) for r in entry.queries()["preference_samples_whole"](spark, d).collect()}
+    assert got == {i: ("Task1", next(x for x in m if x in named)) for i, m in enumerate(images)}

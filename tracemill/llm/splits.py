@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.functions.text import bare_task, file_name, task_of_file
 from tracemill.session import cut
 
 MAX_ROUNDS = 60
@@ -52,23 +53,6 @@ def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def bare_task(task: Column) -> Column:
-    """A task id without white space, folders in front and a file ending; blank goes to null."""
-    s = F.regexp_replace(F.trim(F.regexp_replace(task, r"(?U)^[\s​⁠﻿]+|[\s​⁠﻿]+$", "")), r"^.*[/\\]", "")
-    return F.nullif(F.regexp_replace(s, r"(?i)\.jsonl?$", ""), F.lit(""))
-
-
-def file_name(path: Column) -> Column:
-    """The name of a file, whatever its escapes, folders and letter case; blank goes to null."""
-    plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
-    return F.nullif(F.lower(F.regexp_replace(F.regexp_replace(plain, r"(?U)^\s+|\s+$", ""), r"^.*[/\\]", "")), F.lit(""))
-
-
-def task_of_file(name: Column) -> Column:
-    """The task in ``{step}_{task_id}_step{n}_input.png``; other names tell none."""
-    return F.nullif(F.regexp_extract(name, r"^(?:seed|iter\d+)_(.+)_step\d+_input\.png$", 1), F.lit(""))
-
-
 def record_entities(verify: DataFrame, samples: DataFrame) -> DataFrame:
     """(record_type, record_id, entity): entities are ``0`` + task and ``1`` + image file, so that tasks sort first."""
     v = verify.select(F.lit("verify").alias("record_type"), F.col("verify_id").alias("record_id"), F.concat(F.lit("0"), bare_task(F.col("task_id"))).alias("entity"))

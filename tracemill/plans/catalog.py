@@ -407,15 +407,22 @@ def _content(c: str) -> str:
 
 
 def _paired(s: SparkSession, d: str) -> DataFrame:
-    """Samples with something to learn, their first image and the task it names."""
+    """Samples with something to learn, their first image and the task it names as it is spelled."""
     t = _labelled(s, d).where("learned IS NOT NULL").withColumn("image", F.get("images", F.lit(0)))
     return t.withColumn("task_id", F.regexp_extract("image", r"^.*/(seed|iter\d+)_(.+)_step\d+_input\.png$", 2))
 
 
-def _rendered(pairs: DataFrame, gated: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Pairs of gated tasks, as prompt and answers."""
+def _paired_whole(s: SparkSession, d: str) -> DataFrame:
+    """Samples with something to learn, the first image that names a task, however its path is spelled, and that task in lower case."""
+    task = lambda p: text.task_of_file(text.file_name(p))
+    t = _labelled(s, d).where("learned IS NOT NULL").withColumn("image", F.get(F.filter("images", lambda p: task(p).isNotNull()), F.lit(0)))
+    return t.withColumn("task_id", task(F.col("image")))
+
+
+def _rendered(pairs: DataFrame, gated: DataFrame, tasks: DataFrame, any_case: bool = False) -> DataFrame:
+    """Pairs of gated tasks, as prompt and answers; with ``any_case`` the pairs' tasks are in lower case."""
     g = gated.join(tasks, ["step", "domain", "task_id"]).groupBy("step", "task_id").agg(F.min("instruction").alias("instruction"))
-    t = pairs.join(g, "task_id")
+    t = pairs.withColumnRenamed("task_id", "_named").join(g, F.col("_named") == (F.lower("task_id") if any_case else F.col("task_id")))
     for c in ("chosen", "rejected"):
         t = t.withColumn(f"_{c}", parse.parse_response(F.col(f"{c}.content")))
     t = t.withColumn("r", render.preference_sample(F.col("instruction"), F.col("image"), F.col("_chosen"), F.col("_rejected"), F.col("learned")))
@@ -439,4 +446,4 @@ def preference_samples(s: SparkSession, d: str) -> DataFrame:
 @query()
 def preference_samples_whole(s: SparkSession, d: str) -> DataFrame:
     """Preference samples end to end: gated tasks, parsed and compared sides, rendered prompt and answers; answers without tag and action line are parted by their intent (its pattern looks behind, which SQL's does not)."""
-    return _rendered(_paired(s, d), _gated(s, d), _tasks(s, d))
+    return _rendered(_paired_whole(s, d), _gated(s, d), _tasks(s, d), any_case=True)
