@@ -51,3 +51,14 @@ def test_task_of_the_first_image_that_names_one(spark, tmp_path):
     d = tables(spark, tmp_path, samples, ((1, "teacher", "Task1", True), (2, "student", "Task1", False)), ("Task1", "task2"))
     got = {r.sample_id: (r.task_id, r.image) for r in entry.queries()["preference_samples_whole"](spark, d).collect()}
     assert got == {i: ("Task1", next(x for x in m if x in named)) for i, m in enumerate(images)}
+
+
+def test_task_ids_are_brought_in_line(spark, tmp_path):
+    v = [(1, "teacher", "d/t1", True), (2, "student", "t1.json", False), (3, "teacher", " t2.json", True), (4, "student", "d/t2.json", True), (5, "student", "t2", False), (6, "teacher", "t3", True), (7, "student", "d/t3", False), (8, "student", "t3", True)]
+    d = tables(spark, tmp_path, [(CALL.format("a"), CALL.format("b"), [f"/m/seed_{t}_step2_input.png"]) for t in ("t1", "t2", "t3")], v, ("t1", "t2", "t3", "t4"))
+    q = lambda name, c="task_id": sorted(r[c] for r in entry.queries()[f"{name}_whole"](spark, d).collect())
+    # of the gate's rows of a task, those with the domain in front go first
+    assert q("preference_gate") == ["t1", "t3"] and q("preference_samples", "sample_id") == [0, 2]
+    assert q("weakness_pairs", "verify_id") == [2, 5, 7] and q("case_texts", "case_no") == [1, 2, 3]
+    assert q("unfinished_tasks") == q("missing_results") == ["t4"]
+    assert {r.task_id: r.reused for r in entry.queries()["cache_split_whole"](spark, d).collect()} == {"t1": True, "t2": True, "t3": True, "t4": False}

@@ -91,11 +91,23 @@ _LABELS = f"""{_SIDES}, calls AS (SELECT sample_id, side, {_parsed('content')['t
 
 
 def _verdicts(s: SparkSession, d: str) -> DataFrame:
+    """Verdicts under the ids as they are spelled."""
     return verdicts.task_records(dedupe.keep_first(table(s, d, "verify_result"), ["verify_id"], ["judged_at"]))
 
 
-def _weak(s: SparkSession, d: str) -> DataFrame:
-    v = _verdicts(s, d)
+def _bare_verdicts(s: SparkSession, d: str) -> DataFrame:
+    """Verdicts under bare ids, without a domain in front or a file ending."""
+    return _verdicts(s, d).withColumn("task_id", text.bare_task(F.col("task_id"))).where("task_id IS NOT NULL")
+
+
+def _keyed_verdicts(s: SparkSession, d: str) -> DataFrame:
+    """As before, with the domain left in front where the id has it, which goes before an id without it."""
+    id_ = F.col("task_id")
+    folder = text.non_empty(F.regexp_extract(id_, r"([^/\\]+)[/\\][^/\\]*$", 1))
+    return _verdicts(s, d).where(text.bare_task(id_).isNotNull()).withColumn("task_id", F.concat_ws("/", folder, text.bare_task(id_)))
+
+
+def _weak(v: DataFrame) -> DataFrame:
     w = verdicts.weakness_pairs(v.where("agent = 'student'"), v.where("agent = 'teacher'"), ["step", "domain", "task_id"], ["verify_id"])
     return w.select("verify_id", "step", "domain", "task_id", "instruction", text.judge_verdict(F.col("result"))["failure_analysis"].alias("analysis"))
 
@@ -104,8 +116,7 @@ def _tasks(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "task_config").select("step", "domain", "task_id", "config_id", "instruction", "provide_info", "config").distinct()
 
 
-def _gated(s: SparkSession, d: str) -> DataFrame:
-    v = _verdicts(s, d)
+def _gated(s: SparkSession, d: str, v: DataFrame) -> DataFrame:
     return verdicts.gate(_tasks(s, d).select("step", "domain", "task_id").distinct(), v.where("agent = 'teacher'"), v.where("agent = 'student'"), ["verify_id"])
 
 
@@ -229,20 +240,24 @@ def learn_type_counts(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_WEAK} SELECT * FROM weak")
 def weakness_pairs(s: SparkSession, d: str) -> DataFrame:
     """Student rows that failed where the teacher passed (strict gate)."""
-    return _weak(s, d)
+    return _weak(_verdicts(s, d))
 
 
 @query(f"WITH {_GATE} SELECT * FROM gated")
 def preference_gate(s: SparkSession, d: str) -> DataFrame:
     """Tasks the teacher passed and the student did not (loose gate)."""
-    return _gated(s, d)
+    return _gated(s, d, _verdicts(s, d))
 
 
 @query(f"""WITH {_WEAK}, c AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY verify_id) AS case_no FROM weak)
 SELECT domain, case_no, '[Case ' || case_no || ']' || chr(10) || 'task_id: ' || task_id || chr(10) || 'instruction: ' || coalesce(instruction, '') || chr(10) || 'student_failure_analysis: ' || coalesce(analysis, '') AS case_text FROM c""")
 def case_texts(s: SparkSession, d: str) -> DataFrame:
     """Numbered cases of the weakness report, a row each."""
-    n = ranks.number_rows(_weak(s, d), ["domain", "verify_id"], "_n")
+    return _cases(_weak(_verdicts(s, d)))
+
+
+def _cases(weak: DataFrame) -> DataFrame:
+    n = ranks.number_rows(weak, ["domain", "verify_id"], "_n")
     first = n.groupBy("domain").agg(F.min("_n").alias("_first"))
     c = n.join(first, "domain").withColumn("case_no", F.col("_n") - F.col("_first") + 1)
     return c.select("domain", "case_no", render.case_text(F.col("case_no"), F.col("task_id"), F.col("instruction"), F.col("analysis")).alias("case_text"))
@@ -290,6 +305,49 @@ def missing_results(s: SparkSession, d: str) -> DataFrame:
     return resume.missing(_tasks(s, d), _verdicts(s, d), ["task_id"])
 
 
+# The same over ids brought in line; the SQL of the queries above stays as it is.
+_BARE = rf"regexp_replace(regexp_replace({_strip('task_id')}, '^.*[/\\]', ''), '(?i)\.jsonl?$', '')"
+_V_BARE = _V.replace(f"({_strip('task_id')} AS task_id)", f"({_BARE} AS task_id)").replace(f"AND {_strip('task_id')} <> ''", f"AND {_BARE} <> ''")
+_V_KEYED = _V_BARE.replace(f"({_BARE} AS task_id)", f"(concat_ws('/', nullif(regexp_extract({_strip('task_id')}, '([^/\\\\]+)[/\\\\][^/\\\\]*$', 1), ''), {_BARE}) AS task_id)")
+
+
+@query(ORACLE["weakness_pairs"].replace(_V, _V_BARE))
+def weakness_pairs_whole(s: SparkSession, d: str) -> DataFrame:
+    """``weakness_pairs`` over ids brought in line."""
+    return _weak(_bare_verdicts(s, d))
+
+
+@query(ORACLE["case_texts"].replace(_V, _V_BARE))
+def case_texts_whole(s: SparkSession, d: str) -> DataFrame:
+    """``case_texts`` over ids brought in line."""
+    return _cases(_weak(_bare_verdicts(s, d)))
+
+
+@query(ORACLE["preference_gate"].replace(_V, _V_KEYED))
+def preference_gate_whole(s: SparkSession, d: str) -> DataFrame:
+    """``preference_gate`` over ids brought in line."""
+    return _gated(s, d, _keyed_verdicts(s, d))
+
+
+@query(ORACLE["unfinished_tasks"].replace(_V, _V_BARE))
+def unfinished_tasks_whole(s: SparkSession, d: str) -> DataFrame:
+    """``unfinished_tasks`` over ids brought in line."""
+    done = _bare_verdicts(s, d).where("agent = 'student' AND agent_pass IS NOT NULL")
+    return resume.unfinished(_tasks(s, d).select("step", "domain", "task_id").distinct(), done, ["task_id"])
+
+
+@query(ORACLE["cache_split"].replace(_V, _V_BARE))
+def cache_split_whole(s: SparkSession, d: str) -> DataFrame:
+    """``cache_split`` over ids brought in line."""
+    return resume.cache_split(_tasks(s, d).select("step", "domain", "task_id").distinct(), _bare_verdicts(s, d).where("error IS NULL"), ["task_id"])
+
+
+@query(ORACLE["missing_results"].replace(_V, _V_BARE))
+def missing_results_whole(s: SparkSession, d: str) -> DataFrame:
+    """Tasks that no result names, however it spells them."""
+    return resume.missing(_tasks(s, d), _bare_verdicts(s, d), ["task_id"])
+
+
 _PATH = r"/home/user(?:/[\w.\-+]+)+(?:\.[a-zA-Z0-9]+)?"
 _PATHS = rf"""{_TASKS}, c AS (SELECT step, domain, task_id, config_id, instruction, provide_info, unnest(config) AS c FROM tasks),
   a AS (SELECT *, CASE WHEN json_valid(c.parameters.command) AND json_type(c.parameters.command) = 'ARRAY' THEN from_json(c.parameters.command, '["VARCHAR"]') END AS args FROM c),
@@ -440,10 +498,10 @@ def preference_samples(s: SparkSession, d: str) -> DataFrame:
     t = _paired(s, d)
     for c in ("chosen", "rejected"):
         t = t.where(~(parse.thought(F.col(f"{c}.content")).isNull() & parse.action_line(F.col(f"{c}.content")).isNull()))
-    return _rendered(t, _gated(s, d), _tasks(s, d))
+    return _rendered(t, _gated(s, d, _verdicts(s, d)), _tasks(s, d))
 
 
 @query()
 def preference_samples_whole(s: SparkSession, d: str) -> DataFrame:
     """Preference samples end to end: gated tasks, parsed and compared sides, rendered prompt and answers; answers without tag and action line are parted by their intent (its pattern looks behind, which SQL's does not)."""
-    return _rendered(_paired_whole(s, d), _gated(s, d), _tasks(s, d), any_case=True)
+    return _rendered(_paired_whole(s, d), _gated(s, d, _keyed_verdicts(s, d)), _tasks(s, d), any_case=True)
