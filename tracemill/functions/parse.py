@@ -26,9 +26,9 @@ def tool_calls(c: Column) -> Column:
 
 
 def decoded_calls(calls: Column) -> Column:
-    """ARRAY<STRUCT<name, arguments>> of the calls that are JSON; others are dropped. ``keys`` and ``text`` stay JSON text."""
+    """ARRAY<STRUCT<name, arguments>> of the calls that are JSON; others are dropped. ``keys`` and ``text`` keep their type, as variants."""
     # Verified edge: from_json turns broken text into a struct of nulls, so broken calls are filtered first.
-    schema = "STRUCT<name: STRING, arguments: STRUCT<action: STRING, keys: STRING, text: STRING, coordinate: ARRAY<DOUBLE>, pixels: DOUBLE, time: DOUBLE, status: STRING>>"
+    schema = "STRUCT<name: STRING, arguments: STRUCT<action: STRING, keys: VARIANT, text: VARIANT, coordinate: ARRAY<DOUBLE>, pixels: DOUBLE, time: DOUBLE, status: STRING>>"
     return F.transform(F.filter(calls, lambda x: F.try_parse_json(x).isNotNull()), lambda x: F.from_json(x, schema))
 
 

@@ -88,9 +88,15 @@ def _spaced(s: str | None) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def action_text(s: pd.Series) -> pd.Series:
-    """Text of an action: null is empty, JSON is laid out with ``", "`` and ``": "``, other text is stripped."""
-    return s.map(lambda x: _spaced(None if x is None or x != x else x))
+def _laid_out(s: pd.Series) -> pd.Series:
+    return s.map(_spaced, na_action="ignore")
+
+
+def action_text(c: Column) -> Column:
+    """Text of an action: null is empty, JSON is laid out with ``", "`` and ``": "``, other text is stripped. Only what may be JSON goes to Python."""
+    t = strip(c)
+    json_ = t.rlike(r"^[\[{]")
+    return F.when(c.isNull(), "").when(json_, _laid_out(F.when(json_, t))).otherwise(t)
 
 
 def step_number(step: Column) -> Column:

@@ -13,7 +13,7 @@ from tracemill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "preference_samples_whole"
+FLAGSHIP = "preference_samples"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,8 +42,17 @@ def _even(c: str) -> str:
     return rf"regexp_replace(regexp_replace({c}, '{_WS}+', ' ', 'g'), '^ | $', '', 'g')"
 
 
-_V = f"""v AS (SELECT *, CASE WHEN json_valid(result) THEN result END AS rj FROM (SELECT * EXCLUDE (rn) REPLACE ({_strip('task_id')} AS task_id) FROM (
-    SELECT *, row_number() OVER (PARTITION BY verify_id ORDER BY judged_at NULLS FIRST) AS rn FROM verify_result) WHERE rn = 1 AND {_strip('task_id')} <> ''))"""
+# Bare task ids: no folder or domain in front, no file ending.
+_BARE = rf"regexp_replace(regexp_replace({_strip('task_id')}, '^.*[/\\]', ''), '(?i)\.jsonl?$', '')"
+_KEYED = rf"concat_ws('/', nullif(regexp_extract({_strip('task_id')}, '([^/\\]+)[/\\][^/\\]*$', 1), ''), {_BARE})"
+
+
+def _verdict_rows(task: str) -> str:
+    return f"""v AS (SELECT *, CASE WHEN json_valid(result) THEN result END AS rj FROM (SELECT * EXCLUDE (rn) REPLACE ({task} AS task_id) FROM (
+    SELECT *, row_number() OVER (PARTITION BY verify_id ORDER BY judged_at NULLS FIRST) AS rn FROM verify_result) WHERE rn = 1 AND {_BARE} <> ''))"""
+
+
+_V, _V_KEYED = _verdict_rows(_BARE), _verdict_rows(_KEYED)
 _T = """t AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY task_id, run_no, line_no ORDER BY ingested_at NULLS FIRST) AS rn FROM trajectory_row) WHERE rn = 1)"""
 _TASKS = "tasks AS (SELECT DISTINCT step, domain, task_id, config_id, instruction, provide_info, config FROM task_config)"
 _ANALYSIS = f"""CASE WHEN json_type(rj) = 'OBJECT' THEN coalesce(CASE WHEN json_type(rj, '$.agent_failure_analysis') = 'VARCHAR' THEN {_strip("json_extract_string(rj, '$.agent_failure_analysis')")} END, '') END"""
@@ -51,7 +60,7 @@ _WEAK = f"""{_V}, first AS (SELECT step, domain, task_id, agent_pass FROM (
     SELECT *, row_number() OVER (PARTITION BY step, domain, task_id ORDER BY verify_id) AS rn FROM v WHERE agent = 'teacher') WHERE rn = 1),
   weak AS (SELECT s.verify_id, s.step, s.domain, s.task_id, s.instruction, {_ANALYSIS.replace('rj', 's.rj')} AS analysis
     FROM v s JOIN first f ON s.step = f.step AND s.domain = f.domain AND s.task_id = f.task_id WHERE s.agent = 'student' AND s.agent_pass = false AND f.agent_pass)"""
-_GATE = f"""{_V}, {_TASKS}, last AS (SELECT agent, task_id AS key, agent_pass FROM (
+_GATE = f"""{_V_KEYED}, {_TASKS}, last AS (SELECT agent, task_id AS key, agent_pass FROM (
     SELECT *, row_number() OVER (PARTITION BY agent, task_id ORDER BY verify_id DESC) AS rn FROM v) WHERE rn = 1),
   gated AS (SELECT m.step, m.domain, m.task_id FROM (SELECT DISTINCT step, domain, task_id FROM tasks) m
     LEFT JOIN last tl ON tl.agent = 'teacher' AND tl.key = m.domain || '/' || m.task_id LEFT JOIN last ts ON ts.agent = 'teacher' AND ts.key = m.task_id
@@ -61,11 +70,25 @@ _CALL = r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"
 _SIDES = """sides AS (SELECT sample_id, 'chosen' AS side, chosen.content AS content FROM dpo_sample UNION ALL SELECT sample_id, 'rejected', rejected.content FROM dpo_sample)"""
 
 
+# The intent's boundary is captured where the engine's pattern looks behind; both leave what follows it.
+_INTENT = rf"(?is)(?:^|[.\n]{_WS}*)((?:I''ll|I will|Let me|Now I(?:''ll| will| need to| should| am going to| want to)){_WS}.+)$"
+
+
 def _parsed(c: str) -> dict[str, str]:
+    """SQL of an answer's parts: those of its tags and lines, else those of the intent split."""
+    thought = rf"CASE WHEN regexp_matches({c}, '(?s)<think>\s*(.*?)\s*</think>') THEN {_strip(rf"regexp_extract({c}, '(?s)<think>\s*(.*?)\s*</think>', 1)")} WHEN regexp_matches({c}, '(?s)^(.*?)\s*</think>') THEN {_strip(rf"regexp_extract({c}, '(?s)^(.*?)\s*</think>', 1)")} END"
+    action = rf"CASE WHEN regexp_matches({c}, 'Action:\s*(.+)') THEN {_strip(rf"regexp_extract({c}, 'Action:\s*(.+)', 1)")} END"
+    tool = rf"CASE WHEN len(regexp_extract_all({c}, '{_CALL}', 1)) > 0 THEN regexp_extract_all({c}, '{_CALL}', 1) END"
+    words = _strip(rf"regexp_replace({c}, '(?s)<tool_call>.*?</tool_call>', '', 'g')")
+    told = f"regexp_extract({words}, '{_INTENT}', 1)"
+    lead = f"nullif({_strip(rf"regexp_replace({_strip(f'left({words}, length({words}) - length({told}))')}, '\.+$', '')")}, '')"
+    bare = f"({tool}) IS NOT NULL AND ({thought}) IS NULL AND ({action}) IS NULL"
     return {
-        "thought": rf"CASE WHEN regexp_matches({c}, '(?s)<think>\s*(.*?)\s*</think>') THEN {_strip(rf"regexp_extract({c}, '(?s)<think>\s*(.*?)\s*</think>', 1)")} WHEN regexp_matches({c}, '(?s)^(.*?)\s*</think>') THEN {_strip(rf"regexp_extract({c}, '(?s)^(.*?)\s*</think>', 1)")} END",
-        "action": rf"CASE WHEN regexp_matches({c}, 'Action:\s*(.+)') THEN {_strip(rf"regexp_extract({c}, 'Action:\s*(.+)', 1)")} END",
-        "tool": rf"CASE WHEN len(regexp_extract_all({c}, '{_CALL}', 1)) > 0 THEN regexp_extract_all({c}, '{_CALL}', 1) END",
+        "tool": tool,
+        "tagged_thought": thought,
+        "tagged_action": action,
+        "thought": f"CASE WHEN {bare} THEN CASE WHEN regexp_matches({words}, '{_INTENT}') THEN {lead} ELSE nullif({words}, '') END ELSE {thought} END",
+        "action": f"CASE WHEN {bare} THEN CASE WHEN regexp_matches({words}, '{_INTENT}') THEN {_strip(told)} END ELSE {action} END",
     }
 
 
@@ -76,8 +99,8 @@ _LABELS = f"""{_SIDES}, calls AS (SELECT sample_id, side, {_parsed('content')['t
   n AS (SELECT c.sample_id, bool_and(c.tool IS NOT NULL) AS known, (SELECT count(*) FROM used u WHERE u.sample_id = c.sample_id AND u.side = 'rejected') AS ns, (SELECT count(*) FROM used u WHERE u.sample_id = c.sample_id AND u.side = 'chosen') AS nt FROM calls c GROUP BY c.sample_id),
   zipped AS (SELECT s.sample_id, CASE WHEN s.act IS DISTINCT FROM t.act THEN 'diff_action'
       WHEN s.act IN ('wait', 'terminate', 'scroll') THEN 'exact_match'
-      WHEN s.act = 'key' THEN CASE WHEN json_extract(s.j, '$.arguments.keys') IS NOT DISTINCT FROM json_extract(t.j, '$.arguments.keys') THEN 'exact_match' ELSE 'diff_param' END
-      WHEN s.act = 'type' THEN CASE WHEN json_extract_string(s.j, '$.arguments.text') IS NOT DISTINCT FROM json_extract_string(t.j, '$.arguments.text') THEN 'exact_match' ELSE 'diff_param' END
+      WHEN s.act = 'key' THEN CASE WHEN nullif(CAST(json_extract(s.j, '$.arguments.keys') AS VARCHAR), 'null') IS NOT DISTINCT FROM nullif(CAST(json_extract(t.j, '$.arguments.keys') AS VARCHAR), 'null') THEN 'exact_match' ELSE 'diff_param' END
+      WHEN s.act = 'type' THEN CASE WHEN nullif(CAST(json_extract(s.j, '$.arguments.text') AS VARCHAR), 'null') IS NOT DISTINCT FROM nullif(CAST(json_extract(t.j, '$.arguments.text') AS VARCHAR), 'null') THEN 'exact_match' ELSE 'diff_param' END
       WHEN s.act IN ('left_click', 'double_click', 'right_click', 'mouse_move', 'triple_click', 'left_click_drag') THEN
         CASE WHEN json_extract(s.j, '$.arguments.coordinate') IS NULL AND json_extract(t.j, '$.arguments.coordinate') IS NULL
           OR abs(CAST(json_extract(s.j, '$.arguments.coordinate[0]') AS DOUBLE) - CAST(json_extract(t.j, '$.arguments.coordinate[0]') AS DOUBLE)) <= 20 AND abs(CAST(json_extract(s.j, '$.arguments.coordinate[1]') AS DOUBLE) - CAST(json_extract(t.j, '$.arguments.coordinate[1]') AS DOUBLE)) <= 20
@@ -90,21 +113,20 @@ _LABELS = f"""{_SIDES}, calls AS (SELECT sample_id, side, {_parsed('content')['t
   learned AS (SELECT sample_id, label, CASE WHEN label = 'diff_param' THEN 'learn_param' WHEN label IN ('diff_action', 'diff_len') THEN 'learn_action' END AS learn_type FROM labels)"""
 
 
-def _verdicts(s: SparkSession, d: str) -> DataFrame:
-    """Verdicts under the ids as they are spelled."""
-    return verdicts.task_records(dedupe.keep_first(table(s, d, "verify_result"), ["verify_id"], ["judged_at"]))
+def _delivered_verdicts(s: SparkSession, d: str) -> DataFrame:
+    t = verdicts.task_records(dedupe.keep_first(table(s, d, "verify_result"), ["verify_id"], ["judged_at"]))
+    return t.where(text.bare_task(F.col("task_id")).isNotNull())
 
 
-def _bare_verdicts(s: SparkSession, d: str) -> DataFrame:
-    """Verdicts under bare ids, without a domain in front or a file ending."""
-    return _verdicts(s, d).withColumn("task_id", text.bare_task(F.col("task_id"))).where("task_id IS NOT NULL")
+def _verdicts(s: SparkSession, d: str) -> DataFrame:
+    """Verdicts under bare ids, without a domain in front or a file ending; deliveries of one row once."""
+    return _delivered_verdicts(s, d).withColumn("task_id", text.bare_task(F.col("task_id")))
 
 
 def _keyed_verdicts(s: SparkSession, d: str) -> DataFrame:
     """As before, with the domain left in front where the id has it, which goes before an id without it."""
-    id_ = F.col("task_id")
-    folder = text.non_empty(F.regexp_extract(id_, r"([^/\\]+)[/\\][^/\\]*$", 1))
-    return _verdicts(s, d).where(text.bare_task(id_).isNotNull()).withColumn("task_id", F.concat_ws("/", folder, text.bare_task(id_)))
+    folder = text.non_empty(F.regexp_extract("task_id", r"([^/\\]+)[/\\][^/\\]*$", 1))
+    return _delivered_verdicts(s, d).withColumn("task_id", F.concat_ws("/", folder, text.bare_task(F.col("task_id"))))
 
 
 def _weak(v: DataFrame) -> DataFrame:
@@ -146,13 +168,18 @@ def delivered_lines(s: SparkSession, d: str) -> DataFrame:
     return _lines(s, d).groupBy("task_id", "run_no").agg(F.count("*").alias("n_lines"), F.count("action").alias("n_actions"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
 
 
-@query(rf"""WITH {_T}, f AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND lag(step_num) OVER w IS NOT DISTINCT FROM step_num THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY task_id, run_no ORDER BY line_no)),
+# JSON with a space after commas and colons outside its strings.
+_LAID = r"""rtrim(regexp_replace(CAST(json(action) AS VARCHAR), '((?:"(?:[^"\\]|\\.)*"|[^",:])*)([,:]|$)', '\1\2 ', 'g'))"""
+_ACTION_TEXT = rf"CASE WHEN action IS NULL THEN '' WHEN json_valid(action) AND regexp_matches(action, '^\s*[\[{{]') THEN {_LAID} ELSE {_strip('action')} END"
+
+
+@query(rf"""WITH {_T}, f AS (SELECT *, {_ACTION_TEXT} AS act, CASE WHEN row_number() OVER w > 1 AND lag(step_num) OVER w IS NOT DISTINCT FROM step_num THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY task_id, run_no ORDER BY line_no)),
   g AS (SELECT *, CAST(sum(new) OVER (PARTITION BY task_id, run_no ORDER BY line_no) AS BIGINT) AS group_no FROM f)
 SELECT task_id, run_no, group_no, coalesce(min(step_num), -1) AS step_num, (list(response ORDER BY line_no))[1] AS response,
-  coalesce(string_agg(regexp_replace(action, '\s', '', 'g'), '' ORDER BY line_no), '') AS action, (list(screenshot_file ORDER BY line_no))[-1] AS screenshot_file, count(*) AS n_lines FROM g GROUP BY ALL""")
+  coalesce(string_agg(nullif(act, ''), chr(10) ORDER BY line_no), '') AS action, (list(screenshot_file ORDER BY line_no))[-1] AS screenshot_file, count(*) AS n_lines FROM g GROUP BY ALL""")
 def merged_steps(s: SparkSession, d: str) -> DataFrame:
-    """Neighbouring lines of one step merged; white space of the joined actions is left out to compare."""
-    return steps.merge_consecutive(_lines(s, d)).withColumn("action", F.regexp_replace("action", r"\s", "")).na.fill(-1, ["step_num"])
+    """Neighbouring lines of one step merged; a step without a number shows -1."""
+    return steps.merge_consecutive(_lines(s, d)).na.fill(-1, ["step_num"])
 
 
 @query(f"""WITH {_T} SELECT task_id, run_no, CAST(coalesce(step_num, 0) AS BIGINT) AS step, (list(response ORDER BY line_no))[1] AS response, string_agg(coalesce(action, '~'), '|' ORDER BY line_no) AS actions, (list(screenshot_file ORDER BY line_no))[-1] AS screenshot_file FROM t GROUP BY ALL""")
@@ -212,16 +239,16 @@ def tool_calls(s: SparkSession, d: str) -> DataFrame:
     return t.select("sample_id", "side", n(F.col("tool")).alias("n_calls"), n(parse.decoded_calls(F.col("tool"))).alias("n_decoded"), _joined(F.col("tool")).alias("calls"))
 
 
-@query(f"WITH {_SIDES} SELECT sample_id, side, {_parsed('content')['thought']} AS thought, {_parsed('content')['action']} AS action FROM sides")
+@query(f"WITH {_SIDES} SELECT sample_id, side, {_parsed('content')['tagged_thought']} AS thought, {_parsed('content')['tagged_action']} AS action FROM sides")
 def thoughts_and_actions(s: SparkSession, d: str) -> DataFrame:
     """Think block and action line of each side."""
     c = F.col("content")
     return _sides(s, d).select("sample_id", "side", parse.thought(c).alias("thought"), parse.action_line(c).alias("action"))
 
 
-@query()
+@query(f"WITH {_SIDES} SELECT sample_id, side, {_parsed('content')['thought']} AS thought, {_parsed('content')['action']} AS action, array_to_string({_parsed('content')['tool']}, '|') AS tool FROM sides")
 def parsed_responses(s: SparkSession, d: str) -> DataFrame:
-    """Each side parsed, with the intent split for answers that have a call alone (its pattern looks behind, which SQL's does not)."""
+    """Each side parsed, with the intent split for answers that have a call alone."""
     return _sides(s, d).withColumn("p", parse.parse_response(F.col("content"))).select("sample_id", "side", "p.thought", "p.action", _joined(F.col("p.tool")).alias("tool"))
 
 
@@ -246,7 +273,7 @@ def weakness_pairs(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_GATE} SELECT * FROM gated")
 def preference_gate(s: SparkSession, d: str) -> DataFrame:
     """Tasks the teacher passed and the student did not (loose gate)."""
-    return _gated(s, d, _verdicts(s, d))
+    return _gated(s, d, _keyed_verdicts(s, d))
 
 
 @query(f"""WITH {_WEAK}, c AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY verify_id) AS case_no FROM weak)
@@ -299,53 +326,16 @@ def cache_split(s: SparkSession, d: str) -> DataFrame:
     return resume.cache_split(_tasks(s, d).select("step", "domain", "task_id").distinct(), _verdicts(s, d).where("error IS NULL"), ["task_id"])
 
 
-@query(f"WITH {_V}, {_TASKS} SELECT DISTINCT task_id FROM tasks WHERE task_id NOT IN (SELECT task_id FROM v)")
+@query(f"""WITH {_V}, {_TASKS}, w AS (SELECT DISTINCT task_id, agent, part FROM tasks, (VALUES ('student'), ('teacher')) a(agent), (VALUES ('trajectory'), ('verdict')) p(part)),
+  have AS (SELECT task_id, agent, 'trajectory' AS part FROM trajectory_row UNION SELECT task_id, agent, 'verdict' FROM v WHERE agent_pass IS NOT NULL)
+SELECT task_id, agent, part FROM w WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.task_id = w.task_id AND h.agent = w.agent AND h.part = w.part)""")
 def missing_results(s: SparkSession, d: str) -> DataFrame:
-    """Tasks that no result names as they are spelled."""
-    return resume.missing(_tasks(s, d), _verdicts(s, d), ["task_id"])
-
-
-# The same over ids brought in line; the SQL of the queries above stays as it is.
-_BARE = rf"regexp_replace(regexp_replace({_strip('task_id')}, '^.*[/\\]', ''), '(?i)\.jsonl?$', '')"
-_V_BARE = _V.replace(f"({_strip('task_id')} AS task_id)", f"({_BARE} AS task_id)").replace(f"AND {_strip('task_id')} <> ''", f"AND {_BARE} <> ''")
-_V_KEYED = _V_BARE.replace(f"({_BARE} AS task_id)", f"(concat_ws('/', nullif(regexp_extract({_strip('task_id')}, '([^/\\\\]+)[/\\\\][^/\\\\]*$', 1), ''), {_BARE}) AS task_id)")
-
-
-@query(ORACLE["weakness_pairs"].replace(_V, _V_BARE))
-def weakness_pairs_whole(s: SparkSession, d: str) -> DataFrame:
-    """``weakness_pairs`` over ids brought in line."""
-    return _weak(_bare_verdicts(s, d))
-
-
-@query(ORACLE["case_texts"].replace(_V, _V_BARE))
-def case_texts_whole(s: SparkSession, d: str) -> DataFrame:
-    """``case_texts`` over ids brought in line."""
-    return _cases(_weak(_bare_verdicts(s, d)))
-
-
-@query(ORACLE["preference_gate"].replace(_V, _V_KEYED))
-def preference_gate_whole(s: SparkSession, d: str) -> DataFrame:
-    """``preference_gate`` over ids brought in line."""
-    return _gated(s, d, _keyed_verdicts(s, d))
-
-
-@query(ORACLE["unfinished_tasks"].replace(_V, _V_BARE))
-def unfinished_tasks_whole(s: SparkSession, d: str) -> DataFrame:
-    """``unfinished_tasks`` over ids brought in line."""
-    done = _bare_verdicts(s, d).where("agent = 'student' AND agent_pass IS NOT NULL")
-    return resume.unfinished(_tasks(s, d).select("step", "domain", "task_id").distinct(), done, ["task_id"])
-
-
-@query(ORACLE["cache_split"].replace(_V, _V_BARE))
-def cache_split_whole(s: SparkSession, d: str) -> DataFrame:
-    """``cache_split`` over ids brought in line."""
-    return resume.cache_split(_tasks(s, d).select("step", "domain", "task_id").distinct(), _bare_verdicts(s, d).where("error IS NULL"), ["task_id"])
-
-
-@query(ORACLE["missing_results"].replace(_V, _V_BARE))
-def missing_results_whole(s: SparkSession, d: str) -> DataFrame:
-    """Tasks that no result names, however it spells them."""
-    return resume.missing(_tasks(s, d), _bare_verdicts(s, d), ["task_id"])
+    """Tasks without a trajectory or a verdict of an agent, and which of the two."""
+    every = F.explode(F.array(*[F.struct(F.lit(a).alias("agent"), F.lit(p).alias("part")) for a in ("student", "teacher") for p in ("trajectory", "verdict")]))
+    wanted = _tasks(s, d).select("task_id", every.alias("_w")).select("task_id", "_w.agent", "_w.part")
+    have = _verdicts(s, d).where("agent_pass IS NOT NULL").select("task_id", "agent", F.lit("verdict").alias("part"))
+    have = have.union(table(s, d, "trajectory_row").select("task_id", "agent", F.lit("trajectory").alias("part")))
+    return resume.missing(wanted, have, ["task_id", "agent", "part"])
 
 
 _PATH = r"/home/user(?:/[\w.\-+]+)+(?:\.[a-zA-Z0-9]+)?"
@@ -465,43 +455,32 @@ def _content(c: str) -> str:
 
 
 def _paired(s: SparkSession, d: str) -> DataFrame:
-    """Samples with something to learn, their first image and the task it names as it is spelled."""
-    t = _labelled(s, d).where("learned IS NOT NULL").withColumn("image", F.get("images", F.lit(0)))
-    return t.withColumn("task_id", F.regexp_extract("image", r"^.*/(seed|iter\d+)_(.+)_step\d+_input\.png$", 2))
-
-
-def _paired_whole(s: SparkSession, d: str) -> DataFrame:
     """Samples with something to learn, the first image that names a task, however its path is spelled, and that task in lower case."""
     task = lambda p: text.task_of_file(text.file_name(p))
     t = _labelled(s, d).where("learned IS NOT NULL").withColumn("image", F.get(F.filter("images", lambda p: task(p).isNotNull()), F.lit(0)))
     return t.withColumn("task_id", task(F.col("image")))
 
 
-def _rendered(pairs: DataFrame, gated: DataFrame, tasks: DataFrame, any_case: bool = False) -> DataFrame:
-    """Pairs of gated tasks, as prompt and answers; with ``any_case`` the pairs' tasks are in lower case."""
+def _rendered(pairs: DataFrame, gated: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Pairs of gated tasks, as prompt and answers; the pairs' tasks are in lower case."""
     g = gated.join(tasks, ["step", "domain", "task_id"]).groupBy("step", "task_id").agg(F.min("instruction").alias("instruction"))
-    t = pairs.withColumnRenamed("task_id", "_named").join(g, F.col("_named") == (F.lower("task_id") if any_case else F.col("task_id")))
+    t = pairs.withColumnRenamed("task_id", "_named").join(g, F.col("_named") == F.lower("task_id"))
     for c in ("chosen", "rejected"):
         t = t.withColumn(f"_{c}", parse.parse_response(F.col(f"{c}.content")))
     t = t.withColumn("r", render.preference_sample(F.col("instruction"), F.col("image"), F.col("_chosen"), F.col("_rejected"), F.col("learned")))
     return t.select("sample_id", "task_id", F.col("r.learn_type").alias("learn_type"), F.col("r.conversations")[1]["content"].alias("prompt"), F.col("r.chosen.content").alias("chosen"), F.col("r.rejected.content").alias("rejected"), F.col("r.images")[0].alias("image"))
 
 
-@query(rf"""WITH {_GATE}, {_LABELS.replace('n AS (', 'cnt AS (').replace('FROM n)', 'FROM cnt)').replace('n.sample_id', 'cnt.sample_id').replace('calls c GROUP BY c.sample_id)', 'calls c GROUP BY c.sample_id)')},
-  named AS (SELECT d.sample_id, d.chosen, d.rejected, regexp_extract(d.images[1], '^.*/(seed|iter\d+)_(.+)_step\d+_input\.png$', 2) AS task_id, d.images[1] AS image FROM dpo_sample d WHERE d.images[1] IS NOT NULL),
-  inst AS (SELECT g.step, g.task_id, min(t.instruction) AS instruction FROM gated g JOIN tasks t ON t.step = g.step AND t.domain = g.domain AND t.task_id = g.task_id GROUP BY ALL)
-SELECT n.sample_id, n.task_id, l.learn_type, {_USER} AS prompt, {_content('n.chosen.content')} AS chosen, {_content('n.rejected.content')} AS rejected, n.image
-FROM named n JOIN inst g ON g.task_id = n.task_id JOIN learned l ON l.sample_id = n.sample_id WHERE l.learn_type IS NOT NULL
-  AND NOT ({_parsed('n.chosen.content')['thought']} IS NULL AND {_parsed('n.chosen.content')['action']} IS NULL) AND NOT ({_parsed('n.rejected.content')['thought']} IS NULL AND {_parsed('n.rejected.content')['action']} IS NULL)""")
-def preference_samples(s: SparkSession, d: str) -> DataFrame:
-    """What SQL can state of ``preference_samples_whole``: answers without tag and action line, which take the intent split, are left out."""
-    t = _paired(s, d)
-    for c in ("chosen", "rejected"):
-        t = t.where(~(parse.thought(F.col(f"{c}.content")).isNull() & parse.action_line(F.col(f"{c}.content")).isNull()))
-    return _rendered(t, _gated(s, d, _verdicts(s, d)), _tasks(s, d))
+_FILE = r"lower(regexp_replace(regexp_replace(url_decode(p), '^\s+|\s+$', '', 'g'), '^.*[/\\]', ''))"
+_NAMED = r"'^(?:seed|iter\d+)_(.+)_step\d+_input\.png$'"
 
 
-@query()
-def preference_samples_whole(s: SparkSession, d: str) -> DataFrame:
-    """Preference samples end to end: gated tasks, parsed and compared sides, rendered prompt and answers; answers without tag and action line are parted by their intent (its pattern looks behind, which SQL's does not)."""
-    return _rendered(_paired_whole(s, d), _gated(s, d, _keyed_verdicts(s, d)), _tasks(s, d), any_case=True)
+@query(rf"""WITH {_GATE}, {_LABELS.replace('n AS (', 'cnt AS (').replace('FROM n)', 'FROM cnt)').replace('n.sample_id', 'cnt.sample_id')},
+  paths AS (SELECT sample_id, unnest(images) AS p, generate_subscripts(images, 1) AS pos FROM dpo_sample),
+  first_named AS (SELECT sample_id, arg_min(p, pos) AS image, arg_min(regexp_extract({_FILE}, {_NAMED}, 1), pos) AS named FROM paths WHERE regexp_matches({_FILE}, {_NAMED}) GROUP BY ALL),
+  inst AS (SELECT g.step, g.task_id, min(t.instruction) AS instruction FROM gated g JOIN tasks t ON t.step = g.step AND t.domain = g.domain AND t.task_id = g.task_id GROUP BY ALL)
+SELECT d.sample_id, g.task_id, l.learn_type, {_USER} AS prompt, {_content('d.chosen.content')} AS chosen, {_content('d.rejected.content')} AS rejected, n.image
+FROM dpo_sample d JOIN first_named n ON n.sample_id = d.sample_id JOIN inst g ON lower(g.task_id) = n.named JOIN learned l ON l.sample_id = d.sample_id WHERE l.learn_type IS NOT NULL""")
+def preference_samples(s: SparkSession, d: str) -> DataFrame:
+    """Preference samples end to end: gated tasks, parsed and compared sides, rendered prompt and answers; answers without tag and action line are parted by their intent."""
+    return _rendered(_paired(s, d), _gated(s, d, _keyed_verdicts(s, d)), _tasks(s, d))
