@@ -4,10 +4,13 @@ The classifier has one logistic head per kind of defect over hashed word
 n-grams of the answer's prose and features of the pair. It is trained on a
 bounded sample of the table's own answers, taken as sound, and on defects made
 from them: answers cut off, replaced by the prompt, swapped with an answer in
-another language, refused or emptied. Models of either half of the sample first
+another language, refused or emptied. Refusals are put together from forms of general
+language and from what the table's own answers without a call decline with, as a first model
+tells them. Models of either half of the sample first
 leave out answers of the other half that look defective. Each head's threshold is the one
-of best F1 on pairs that were held out. Heads whose definition can be checked
-exactly are checked afterwards; the check only takes back.
+of best F1 on pairs that were held out. ``empty``, ``truncated`` and ``copies_prompt`` have
+exact definitions, which are features and are checked afterwards (the check only takes back):
+for these kinds the rule decides. ``refusal`` and ``other_language`` are what is learned.
 
 Defined results: a missing side or text is ``empty``; a side has the defect of
 the head furthest over its threshold; without an instruction nothing is in
@@ -26,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm.homoglyph import mapping
@@ -38,6 +41,7 @@ LONGEST = 20_000
 BITS = 14
 EPOCHS = 60
 DOUBT = 0.3
+MINER, MINED = 500, 0.5
 SEED = 7
 
 # Bare words that stand for no value, labels of an answer's parts, and frequent small words by language.
@@ -56,40 +60,43 @@ SMALL_WORDS = {
 _LANGUAGES_OF = {w: [k for k, v in SMALL_WORDS.items() if w in v.split()] for v in SMALL_WORDS.values() for w in v.split()}
 _SCRIPTS = [("zh", re.compile(r"[㐀-鿿]")), ("ja", re.compile(r"[぀-ヿ]")), ("ko", re.compile(r"[가-힣]")), ("ru", re.compile(r"[Ѐ-ӿ]")), ("el", re.compile(r"[Ͱ-Ͽ]")), ("ar", re.compile(r"[؀-ۿ]")), ("he", re.compile(r"[֐-׿]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("th", re.compile(r"[฀-๿]"))]
 
-# Refusals for training: an opening, a statement and a close, put together at random.
-_OPEN = ["", "", "", "Sorry, ", "I'm sorry, but ", "I am sorry, but ", "I apologize; ", "I apologise, but ", "Unfortunately, ", "Regrettably, ", "Regrettably ", "I have to be upfront: ", "To be honest, ", "Thank you for asking, however ", "Thanks, but ", "After some thought, ", "Out of caution, ", "My apologies, ", "As much as I would like to, ", "No. ", "Honestly, "]
-_STATE = [
-    "I can't help with this request.", "I cannot help with that.", "I can not assist with this request.", "I won't carry out this task.", "I will not do this task.", "I must decline to do this.", "I decline this request.", "I have to refuse this.", "I refuse to do that.",
-    "I am not able to operate this computer for you.", "I am unable to control this machine for you.", "my guidelines do not let me control this application.", "my policy does not allow me to use this program.", "this is something I'm not permitted to assist with.", "I am not allowed to take part in this.",
-    "as an AI model I do not perform actions on personal files.", "as a language model I cannot act on your files.", "as an assistant I do not take actions on other people's documents.", "I would rather not take part in this activity.", "I would prefer not to do this.", "I choose not to act on this instruction at all.", "I prefer to leave this request alone.",
-    "helping here is beyond what I may do.", "doing this is beyond what I am allowed to do.", "that's not a job for me; a human should handle the {x}.", "this is not a job for me, somebody else should look after the {x}.", "touching the {x} of somebody else is not a thing I will do.", "changing the {x} of another person is nothing I will do.",
-    "operating the {x} goes against the rules I follow, so I stop here.", "using the {x} would break the rules I follow, so I stop here.", "my role ends at giving advice, which means the {x} stays untouched by me.", "my role is only to give advice, so the {x} is left untouched by me.", "I would be stepping over a line if I changed the {x} for you.", "I would cross a line if I edited the {x} for you.",
-    "requests about the {x} are off limits, and no step will be taken.", "questions about the {x} are off limits here and no action will be taken.", "it would not be right for me to work on the {x}.", "I do not feel comfortable carrying out this request.", "it is against my principles to use the {x} on your behalf.", "you should ask a person to do this, I will not.",
-]
-_CLOSE = ["", "", "", " I hope you understand.", " Please contact a person who can do it for you.", " You may try it yourself instead.", " Feel free to ask about another topic.", " Let me know if there is something else.", " Thank you for your understanding.", " Is there anything else I can help with?"]
+# Refusals to begin with, put together at random from forms of general English and one form in other languages; what the
+# table's own answers decline with is learned from them (``mined``), not written here.
+_OPEN = ["", "", "", "", "Sorry, ", "I'm sorry, but ", "I apologize, but ", "Unfortunately, ", "I'm afraid ", "Thank you, but ", "No, "]
+_UNWILLING = ["I can't", "I cannot", "I won't", "I will not", "I am unable to", "I'm not able to", "I must decline to", "I have to decline to", "I decline to", "I refuse to", "I am not allowed to", "I'm not permitted to", "I am not going to", "I would prefer not to", "I don't want to", "I am not supposed to"]
+_DEED = ["help with", "assist with", "do", "carry out", "perform", "complete", "continue with", "take part in", "work on", "act on", "touch", "operate", "change", "handle", "fulfil"]
+_THING = ["this", "that", "this request", "this task", "your request", "this instruction", "the {x}", "the {x} for you", "somebody's {x}", "anything of the kind"]
+_RULES = ["guidelines", "policy", "rules", "principles", "instructions", "safety rules", "role"]
+_BAN = ["My {r} forbid me to {d} {t}.", "My {r} keep me from it, so I will not {d} {t}.", "It is against my {r} to {d} {t}.", "Under my {r} I may not {d} {t}.", "As an AI assistant I may not {d} {t}.", "As a language model I do not {d} {t}.", "It is not my place to {d} {t}.", "That is not something I am willing to do.", "I am not comfortable with this, so I will not {d} {t}.", "Such requests are not allowed, and I will do nothing about the {x}.", "A person should {d} {t}, not me.", "Nobody should ask me to {d} {t}; I will leave the {x} alone."]
+_CLOSE = ["", "", "", " I hope you understand.", " Please ask somebody else.", " You can do it yourself.", " Can I help with anything else?"]
 _REFUSED = {
-    "es": ["Lo siento, pero no puedo ayudar con esta petición.", "Lo siento, no puedo hacer esta tarea.", "Me niego a realizar esta solicitud.", "No estoy autorizado a ejecutar esta tarea.", "Perdón, pero no voy a hacer esto."],
-    "de": ["Es tut mir leid, aber dabei kann und darf ich nicht helfen.", "Tut mir leid, das kann ich nicht tun.", "Ich lehne diese Anfrage ab.", "Leider darf ich diese Aufgabe nicht ausführen.", "Dabei werde ich nicht helfen."],
-    "fr": ["Je suis désolé, mais je refuse d'exécuter cette demande.", "Désolé, je ne peux pas vous aider.", "Je ne suis pas autorisé à faire cela.", "Je refuse de faire cette tâche.", "Je préfère ne pas répondre à cette demande."],
-    "ru": ["Извините, но я не стану выполнять эту просьбу.", "К сожалению, я не могу помочь с этим запросом.", "Я отказываюсь выполнять эту задачу.", "Простите, мне нельзя этого делать."],
-    "zh": ["抱歉,我不能帮忙完成这个请求。", "对不起，我无法协助完成这个任务。", "很遗憾，我拒绝执行这个操作。", "我不能为您做这件事。"],
-    "it": ["Mi dispiace, ma non posso aiutare con questa richiesta.", "Mi rifiuto di eseguire questo compito."],
-    "pt": ["Desculpe, mas não posso ajudar com este pedido.", "Recuso-me a executar esta tarefa."],
+    "es": ["Lo siento, pero no puedo ayudar con esta solicitud.", "Me niego a hacer esto.", "No se me permite hacerlo."],
+    "de": ["Es tut mir leid, dabei kann ich nicht helfen.", "Ich weigere mich, das zu tun.", "Das darf ich nicht tun."],
+    "fr": ["Désolé, je ne peux pas vous aider à faire cela.", "Je refuse de faire cela.", "Je n'ai pas le droit de le faire."],
+    "it": ["Mi dispiace, ma non posso aiutare con questa richiesta.", "Mi rifiuto di farlo.", "Non mi è permesso farlo."],
+    "pt": ["Desculpe, mas não posso ajudar com este pedido.", "Recuso-me a fazer isso.", "Não tenho permissão para fazer isso."],
+    "nl": ["Het spijt me, maar daar kan ik niet mee helpen.", "Ik weiger dit te doen.", "Dat mag ik niet doen."],
+    "pl": ["Przykro mi, ale nie mogę w tym pomóc.", "Odmawiam wykonania tego.", "Nie wolno mi tego robić."],
+    "ru": ["Извините, но я не могу помочь с этим запросом.", "Я отказываюсь это делать.", "Мне нельзя этого делать."],
+    "zh": ["对不起，我无法帮助完成这个请求。", "我拒绝这样做。", "我不可以这样做。"],
+    "ja": ["申し訳ありませんが、この依頼には応じられません。", "お断りします。"],
+    "ko": ["죄송하지만 이 요청은 도와드릴 수 없습니다.", "거절하겠습니다."],
 }
 
 _CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
-_NAME = re.compile(r"[!-~]*[_\d/\\][!-~]*|[!-~]+\.[A-Za-z]\w{0,4}\b|[\"“”«][^\"“”»\n]{0,80}[\"“”»]")
+_QUOTE = re.compile(r"[\"“”«][^\"“”»\n]*[\"“”»]")
+_NAME = re.compile(r"[_\d/\\]|\w\.[A-Za-z]")
 _INSTRUCTION = re.compile(r"Instruction:\s*(.*?)(?:\n\s*\n|\n\s*Previous actions:|\Z)", re.S)
 
 
 @lru_cache(maxsize=1)
-def _hidden() -> str:
-    return "".join(c for c, p in mapping().items() if not p)
+def _hidden() -> dict[int, None]:
+    return {ord(c): None for c, p in mapping().items() if not p}
 
 
 def visible(text: str) -> str:
-    return text if text.isascii() else text.translate(dict.fromkeys(map(ord, _hidden())))
+    return text if text.isascii() else text.translate(_hidden())
 
 
 def prose(text: str) -> str:
@@ -118,7 +125,7 @@ def calls(text: str) -> tuple[int, int, bool, list[dict]]:
 
 def language_shares(text: str) -> dict[str, float]:
     """Share of the words of ``text`` that tell a language, by language; names, numbers and quotes are set aside."""
-    t = _NAME.sub(" ", text)
+    t = " ".join([x for x in _QUOTE.sub(" ", text).split() if not _NAME.search(x)])
     out: dict[str, float] = {}
     if not t.isascii():
         for k, r in _SCRIPTS:
@@ -223,7 +230,25 @@ def _layout(rng: random.Random, thought: str, action: str, call: str) -> str:
     return f"{thought}\n{action}{call}" if call else thought
 
 
-def _broken(rng: random.Random, kind: str, user: str, text: str, others: list[tuple[str, dict[str, float], str]]) -> str | None:
+def _language(text: str) -> str:
+    known = language_shares(text)
+    return max(known, key=known.get) if known else "en"
+
+
+def _refusal(rng: random.Random, asked: str, mined: dict[str, list[str]]) -> str:
+    """A sentence or two that decline what is asked, half of them as some answer of the table does."""
+    lang = _language(asked)
+    if lang in mined and rng.random() < 0.6:
+        return rng.choice(mined[lang])
+    if lang in _REFUSED or rng.random() < 0.05:
+        return rng.choice(_REFUSED[lang if lang in _REFUSED else rng.choice(list(_REFUSED))])
+    noun = rng.choice([x for x in re.findall(r"[a-z]{4,}", asked.lower())] or ["file"])
+    deed, thing = rng.choice(_DEED), rng.choice(_THING).format(x=noun)
+    a = f"{rng.choice(_UNWILLING)} {deed} {thing}." if rng.random() < 0.5 else rng.choice(_BAN).format(r=rng.choice(_RULES), d=deed, t=thing, x=noun)
+    return f"{rng.choice(_OPEN)}{a}{rng.choice(_CLOSE)}"
+
+
+def _broken(rng: random.Random, kind: str, user: str, text: str, others: list[tuple[str, dict[str, float], str]], mined: dict[str, list[str]]) -> str | None:
     """``text`` with a defect of ``kind``; None where it cannot be made."""
     asked = (m[1].strip() if (m := _INSTRUCTION.search(user)) else user.strip()) or "task"
     wait = rng.choice(["", "", '{"name": "computer_use", "arguments": {"action": "wait", "time": 1}}'])
@@ -240,15 +265,7 @@ def _broken(rng: random.Random, kind: str, user: str, text: str, others: list[tu
         a = rng.choice([asked, asked.upper(), asked.replace('"', "'").replace(",", ""), f"{asked}\n\n{asked}\n", user, user.replace("<image>\n", ""), "Instruction: " + asked.rstrip(".")])
         return a if rng.random() < 0.5 else _layout(rng, asked, asked, wait)
     if kind == "refusal":
-        known = _prompt(user)[0]
-        lang = max(known, key=known.get) if known else "en"
-        if lang in _REFUSED and rng.random() < 0.85 or rng.random() < 0.06:
-            a = rng.choice(_REFUSED[lang if lang in _REFUSED else rng.choice(list(_REFUSED))])
-        else:
-            nouns = [x for x in re.findall(r"[a-z]{4,}", asked.lower())] or ["file"]
-            things = [rng.choice(nouns), rng.choice(nouns) + " file", f"{rng.choice(nouns)} {rng.choice(['panel', 'menu', 'view', 'tab', 'bar', 'dialog', 'editor', 'list'])}"]
-            a = rng.choice(_OPEN) + rng.choice(_STATE).format(x=rng.choice(things))
-            a = a[0].upper() + a[1:] + rng.choice(_CLOSE)
+        a = _refusal(rng, asked, mined)
         wait = rng.choice(["", wait, '{"name": "computer_use", "arguments": {"action": "terminate", "status": "failure"}}'])
         return a if rng.random() < 0.45 else _layout(rng, a, a, wait)
     mine = _prompt(user)[0]
@@ -265,6 +282,16 @@ class Model:
     def __init__(self, grams: np.ndarray, dense: np.ndarray, thresholds: np.ndarray):
         self.grams, self.dense, self.thresholds = grams, dense, thresholds
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes the model to a folder all executors share."""
+        rows = [(n, list(x.shape), x.astype("float64").tobytes()) for n, x in (("grams", self.grams), ("dense", self.dense), ("thresholds", self.thresholds))]
+        spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        by = {r.name: np.frombuffer(r.data).reshape(r.shape) for r in spark.read.parquet(path).collect()}
+        return cls(by["grams"].astype(np.float32), by["dense"].astype(np.float32), by["thresholds"])
+
     def scores(self, rows: list[tuple[list[int], np.ndarray]]) -> np.ndarray:
         z = np.stack([x for _, x in rows]) @ self.dense
         for i, (g, _) in enumerate(rows):
@@ -313,7 +340,7 @@ def _best_threshold(s: np.ndarray, y: np.ndarray) -> float:
     return float(min(0.95, max(0.05, (s[i] + (s[i + 1] if i + 1 < len(s) else 0)) / 2)))
 
 
-def _examples(sound: list[tuple[str, str]], rng: random.Random) -> tuple[list[tuple[list[int], np.ndarray]], np.ndarray]:
+def _examples(sound: list[tuple[str, str]], rng: random.Random, mined: dict[str, list[str]]) -> tuple[list[tuple[list[int], np.ndarray]], np.ndarray]:
     """Features and labels of sound pairs and of the defects made from them, in random order."""
     others = [(u, language_shares(prose(t)), t) for u, t in sound]
     data: list[tuple[str, str, int]] = []
@@ -324,7 +351,7 @@ def _examples(sound: list[tuple[str, str]], rng: random.Random) -> tuple[list[tu
         for k, kind in enumerate(KINDS):
             # prompts in less usual languages are few, so each is swapped more often
             for _ in range(4 if kind == "other_language" and lang != usual else 1):
-                if (b := _broken(rng, kind, u, t, others)) is not None:
+                if (b := _broken(rng, kind, u, t, others, mined)) is not None:
                     data.append((u, b, k))
         swap = rng.choice(others)  # an answer to another prompt of the same language is no defect of language
         if _agree(_prompt(u)[0], swap[1]) > 0.8:
@@ -338,17 +365,35 @@ def _examples(sound: list[tuple[str, str]], rng: random.Random) -> tuple[list[tu
     return [x for x, _ in rows], y
 
 
-def train(sample: list[tuple[str, str]], seed: int = SEED, epochs: int = EPOCHS) -> Model:
-    """A model from (prompt, answer) pairs taken as sound; those that a model of the other half doubts are left out."""
+def _mine(model: Model, callless: list[tuple[str, str]]) -> dict[str, list[str]]:
+    """Prose of the answers without a call that ``model`` takes for refusals, by language."""
+    s = model.scores([features(u, t) for u, t in callless])
+    k = KINDS.index("refusal")
+    out = {" ".join(prose(t.split("Action:")[0]).split()) for (u, t), r in zip(callless, s) if r[k] >= MINED and r.argmax() == k and not is_empty(t) and not copies(u, visible(t))}
+    by: dict[str, list[str]] = {}
+    for x in sorted(out - {""}):
+        by.setdefault(_language(x), []).append(x)
+    return by
+
+
+def train(sample: list[tuple[str, str]], callless: list[tuple[str, str]] = (), seed: int = SEED, epochs: int = EPOCHS) -> Model:
+    """A model from (prompt, answer) pairs taken as sound; those that a model of the other half doubts are left out.
+
+    ``callless`` are answers without a call, refusals and cut ones among them; what a first model, of ``MINER`` sound answers, takes for refusals there serves as refusals to train with.
+    """
     rng = random.Random(seed)
     sound = [(u, t) for u, t in sample if not is_empty(t) and not stops_early(visible(t)) and not copies(u, visible(t))]
+    mined: dict[str, list[str]] = {}
+    if callless and sound:
+        rows, y = _examples(sound[:MINER], rng, {})
+        mined = _mine(_fit(rows, y, epochs // 2), list(callless))
     halves, kept = (sound[::2], sound[1::2]), []
     for mine, other in (halves, halves[::-1]):
         if mine and other:
-            rows, y = _examples(mine, rng)
+            rows, y = _examples(mine, rng, mined)
             s = _fit(rows, y, epochs // 2).scores([features(u, t) for u, t in other])
             kept += [x for x, r in zip(other, s) if r.max() < DOUBT]
-    rows, y = _examples(kept, rng)
+    rows, y = _examples(kept, rng, mined)
     part = len(rows) * 3 // 4
     if not part:
         return Model(np.zeros((1 << BITS, len(KINDS)), np.float32), np.zeros((DENSE, len(KINDS)), np.float32), np.full(len(KINDS), 0.4))
@@ -365,14 +410,19 @@ def sides(samples: DataFrame) -> DataFrame:
     return samples.select("sample_id", user.alias("user"), F.explode(both).alias("_s")).select("sample_id", "_s.side", "user", "_s.content").where("sample_id IS NOT NULL")
 
 
-def learn(samples: DataFrame, most: int = SAMPLE) -> Model:
-    """A model from the ``most`` sides of least hash; the filter on the hash keeps what tasks send to some times ``most``."""
-    s = sides(samples).where(f"content IS NOT NULL AND length(content) + length(coalesce(user, '')) <= {LONGEST}").withColumn("_h", F.pmod(F.xxhash64("sample_id", "side"), F.lit(1 << 40)))
+def _drawn(s: DataFrame, most: int) -> list[tuple[str, str]]:
+    """The ``most`` sides of least hash; the filter on the hash keeps what tasks send to some times ``most``."""
     n = s.count()
     if n > 4 * most:
         s = s.where(F.col("_h") < int((1 << 40) * 2 * most / n))
-    drawn = s.orderBy("_h", "sample_id", "side").limit(most)
-    return train(sorted((r.user or "", r.content) for r in drawn.collect()))
+    rows = s.orderBy("_h", "sample_id", "side").limit(most).collect()
+    return sorted((r.user or "", r.content) for r in rows)
+
+
+def learn(samples: DataFrame, most: int = SAMPLE) -> Model:
+    """A model from ``most`` sides of the table, and as many of those without a call."""
+    s = sides(samples).where(f"content IS NOT NULL AND length(content) + length(coalesce(user, '')) <= {LONGEST}").withColumn("_h", F.pmod(F.xxhash64("sample_id", "side"), F.lit(1 << 40)))
+    return train(_drawn(s, most), _drawn(s.where("NOT contains(content, '</tool_call>') AND trim(content) <> ''"), most))
 
 
 def find_defects(samples: DataFrame, model: Model | None = None) -> DataFrame:
