@@ -93,8 +93,8 @@ def test_sinks(spark, tmp_path):
     assert known["b"] == 2 and known["a"]["file_name"] == "x.json" and list(known) == ["a", "b"]
     put(tmp_path / "i/1.png", "one")
     put(tmp_path / "i/2.png", "two")
-    pairs = spark.createDataFrame([(str(tmp_path / f"i/{k}.png"), str(tmp_path / "o/x.png")) for k in (1, 2, 1)], "a string, b string")
-    assert sinks.copy_images(pairs, "a", "b") == 1 and (tmp_path / "o/x.png").read_text() == "two"
+    pairs = spark.createDataFrame([(n, str(tmp_path / f"i/{k}.png"), str(tmp_path / "o/x.png")) for n, k in enumerate((1, 2, 1))], "n int, a string, b string")
+    assert sinks.copy_images(pairs, "a", "b", ["n"]) == 1 and (tmp_path / "o/x.png").read_text() == "one"  # the last written stays
     sinks.write_lines(df, str(tmp_path / "lines"), ["n"])
     assert spark.read.json(str(tmp_path / "lines")).count() == 2
     sinks.append_results(df, str(tmp_path / "res"))
@@ -102,6 +102,8 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "res")).count() == 4
     sinks.write_selection(df, str(tmp_path / "sel"), ["n"], "task_id", {"top_n": 2})
     assert json.loads((tmp_path / "sel/paths.json").read_text()) == ["t1", "t2"]
+    with pytest.raises(ValueError):
+        sinks.write_selection(df, str(tmp_path / "sel"), ["n"], "task_id", {}, most=1)
 
 
 def test_stage_loop_is_taken_up_again(spark, tmp_path):

@@ -45,6 +45,19 @@ def test_inputs_and_history(spark):
     assert [r.history for r in history(s, 1).orderBy("run_no", "step").collect()] == [[], [""], ["r2"], []]
 
 
+def test_history_over_segments(spark):
+    at = [0, 1, 3, 4, 9, 10, 11, 12, 25, 26, 40]
+    data = [("t", 1, i, None if i % 4 == 1 else f"r{i}", f"f{i}") for i in at] + [("u", None, i, f"x{i}", None) for i in (2, 7)]
+    s = spark.createDataFrame(data, "task_id string, run_no long, step long, response string, screenshot_file string")
+    texts = ["" if i % 4 == 1 else f"r{i}" for i in at]
+    for segment in (1, 3, 100):
+        got = history(s, 3, segment=segment).where("task_id = 't'").orderBy("step").collect()
+        assert [r.history for r in got] == [texts[max(0, k - 3) : k] for k in range(len(at))]
+        got = input_screenshot(s, segment=segment).orderBy("task_id", "step").collect()
+        assert [r.input_screenshot for r in got] == ["f0"] + [f"f{i}" for i in at[:-1]] + [None, None]
+    assert history(s.limit(0)).count() == 0
+
+
 def test_deliveries(spark):
     data = [("t", 1, 0, 1, "late", "x", "s", None), ("t", 1, 0, 1, "late", "x", "s", None), (None, None, 0, None, None, None, None, None)]
     assert delivered_once(spark.createDataFrame(data, SCHEMA)).count() == 2

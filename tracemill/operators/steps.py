@@ -60,13 +60,32 @@ def group_by_step(rows: DataFrame, run: list[str] = RUN) -> DataFrame:
     return g.select(*run, "step", "response", F.transform("_acts", lambda x: x["action"]).alias("actions"), "screenshot_file")
 
 
-def input_screenshot(steps: DataFrame, order: str = "step", run: list[str] = RUN) -> DataFrame:
+def _earlier(steps: DataFrame, value: str, turns: int, order: str, run: list[str], segment: int) -> DataFrame:
+    """``steps`` with ``_earlier``: ARRAY<STRUCT<v>> of ``value`` of the last ``turns`` steps before each, oldest first.
+
+    Windows go over segments of ``segment`` orders, so a long run is spread over tasks; what passes from
+    one segment to the next are its last ``turns`` values.
+    """
+    t = steps.withColumn("_seg", F.floor(F.col(order) / F.lit(segment))).withColumn("_v", F.struct(F.col(value).alias("v")))
+    keys = [*run, "_seg"]
+    last = t.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))).where(F.col("_r") <= turns)
+    tails = last.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("r"), "_v"))), lambda x: x["_v"]).alias("_tail"))
+    before = F.flatten(F.collect_list("_tail").over(W.partitionBy(*run).orderBy("_seg").rowsBetween(-turns, -1)))
+    tails = tails.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], before.alias("_before"))
+    t = t.withColumn("_own", F.collect_list("_v").over(W.partitionBy(*keys).orderBy(order).rowsBetween(-turns, -1)))
+    t = t.join(tails, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    all_ = F.concat("_before", "_own")
+    n = F.least(F.size(all_), F.lit(turns))
+    return t.select(*steps.columns, F.when(n > 0, F.slice(all_, F.greatest(F.size(all_) - n + 1, F.lit(1)), n)).otherwise(all_).alias("_earlier"))
+
+
+def input_screenshot(steps: DataFrame, order: str = "step", run: list[str] = RUN, segment: int = SEGMENT) -> DataFrame:
     """The screenshot a step begins with: that of the step before, the first step's own; a null before stays null."""
-    w = W.partitionBy(*run).orderBy(order)
-    return steps.withColumn("input_screenshot", F.when(F.row_number().over(w) == 1, F.col("screenshot_file")).otherwise(F.lag("screenshot_file").over(w)))
+    t = _earlier(steps, "screenshot_file", 1, order, run, segment)
+    return t.withColumn("input_screenshot", F.when(F.size("_earlier") == 0, F.col("screenshot_file")).otherwise(F.get("_earlier", F.lit(0))["v"])).drop("_earlier")
 
 
-def history(steps: DataFrame, turns: int = 4, order: str = "step", run: list[str] = RUN) -> DataFrame:
+def history(steps: DataFrame, turns: int = 4, order: str = "step", run: list[str] = RUN, segment: int = SEGMENT) -> DataFrame:
     """The responses of the last ``turns`` steps before each step, oldest first; null responses are kept as empty."""
-    w = W.partitionBy(*run).orderBy(order).rowsBetween(-turns, -1)
-    return steps.withColumn("history", F.collect_list(F.coalesce("response", F.lit(""))).over(w))
+    t = _earlier(steps, "response", turns, order, run, segment)
+    return t.withColumn("history", F.transform("_earlier", lambda x: F.coalesce(x["v"], F.lit("")))).drop("_earlier")

@@ -55,7 +55,18 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there and outlives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tracemill_cut = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table ``cut`` wrote for ``df``, when no later plan reads it; does nothing for other frames."""
+    path = getattr(df, "_tracemill_cut", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ship(spark: SparkSession) -> None:

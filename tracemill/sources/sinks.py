@@ -83,9 +83,9 @@ def upsert_registry(path: str, name: str, file_name: str) -> None:
     write_document(path, known)
 
 
-def copy_images(df: DataFrame, source: str, target: str) -> int:
-    """Copies of image files, each distinct (source, target) once; the greatest source goes to a target named twice."""
-    pairs = df.groupBy(target).agg(F.max(source).alias(source))
+def copy_images(df: DataFrame, source: str, target: str, order: list[str]) -> int:
+    """Copies of image files, each target once; the last source by ``order`` goes to a target named more than once."""
+    pairs = df.groupBy(target).agg(F.max_by(source, F.struct(*order, source)).alias(source))
 
     def copy(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -100,6 +100,8 @@ def copy_images(df: DataFrame, source: str, target: str) -> int:
 
 def write_selection(df: DataFrame, folder: str, order: list[str], path: str, meta: dict[str, Any], most: int = SMALL) -> None:
     """A scored bundle and the bare list of paths of one selection (a top-k, so small)."""
-    rows = df.orderBy(*order).limit(most).collect()
+    rows = df.orderBy(*order).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for one selection")
     write_document(f"{folder}/selection.json", meta | {"selected": [r.asDict(recursive=True) for r in rows]})
     write_document(f"{folder}/paths.json", [r[path] for r in rows])
