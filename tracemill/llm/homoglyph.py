@@ -29,6 +29,9 @@ LOOKALIKES = {
     "ϲ": "c", "ϳ": "j", "ο": "o", "ρ": "p", "ν": "v",
     "Α": "A", "Β": "B", "Ϲ": "C", "Ε": "E", "Η": "H", "Ι": "I", "Ϳ": "J", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X", "Υ": "Y", "Ζ": "Z",
     "ɡ": "g", "ɑ": "a",
+    "օ": "o", "Օ": "O", "հ": "h", "ս": "u", "Տ": "S", "Լ": "L",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
     "‐": "-", "‑": "-",
 }
 
@@ -49,7 +52,7 @@ def _plain(c: str) -> str:
         return " "
     tag = unicodedata.decomposition(c).partition(">")[0]
     letter = unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nl"
-    if tag in ("<wide", "<narrow", "<noBreak") or tag == "<compat" and letter:
+    if tag in ("<wide", "<narrow", "<noBreak", "<font") or tag == "<compat" and letter:
         c = unicodedata.normalize("NFKC", c)
     return unicodedata.normalize("NFC", "".join(LOOKALIKES.get(x, x) for x in unicodedata.normalize("NFD", c)))
 

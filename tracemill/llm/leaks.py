@@ -5,7 +5,9 @@ budget of ``max_edits``, every passage is split into pieces so that at least
 ``2 * max_edits + 1`` whole ones lie in it; an error spoils one piece, or two
 where it joins their words, so an exact hit of some piece is never missed. Each hit is verified: the passages
 around it are compared with the text by Myers' bit-parallel distance over the
-letters and digits, and at distance zero the match is extended exactly.
+letters and digits. A match without an edit must also begin and end with words; it is
+extended exactly to tell how far it goes, and where its words are joined or parted
+otherwise it counts as one edit.
 
 Test items go to the executors in blocks of ``BLOCK_BYTES`` at most; the corpus
 is scanned once per block, whole texts, and nothing of it is shuffled.
@@ -32,7 +34,7 @@ MAX_EDITS = 1
 BLOCK_BYTES = 8 << 20
 
 _WORD = re.compile(r"[^\W_]+")
-_MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|&(?:nbsp|amp|lt|gt|quot|#\d+);")
+_MARKUP = re.compile(r"</?[A-Za-z][^<>\n]*>|&(?:nbsp|amp|lt|gt|quot|#\d+);")
 
 
 # Small letters too stand for the Latin letter their capital is drawn like, so that case and script can be folded in one go.
@@ -161,6 +163,13 @@ class Items:
             return any(stream.startswith(tail, max(0, shift + begin + x)) for x in (0, -1, 1))
         return True
 
+    def _distance(self, n: int, whole: dict[int, bool], stream: str, shift: int) -> int:
+        """Myers' distance of the passage of the white-space words ``whole`` of item ``n`` to its place in the text."""
+        _, _, group, starts, letters, _, _ = self.items[n]
+        at = [k for k in range(len(group)) if group[k] in whole]
+        lo, hi = starts[at[0]], starts[at[-1] + 1]
+        return myers(letters[lo:hi], stream[max(0, shift + lo - self.max_edits) : shift + hi + self.max_edits], self.max_edits)
+
     def search(self, text: str) -> list[tuple[int, int, int]]:
         """(item key, edits, words) of the items found in ``text``; words: the longest passage in full, or ``min_words`` with edits."""
         w, p, pieces, first = doc_words(text), self.size, self.pieces, self.first
@@ -205,7 +214,7 @@ class Items:
                     for k in (at_start[0] - 1, at_start[-1] + 1):
                         if 0 <= k < len(group):
                             whole.pop(group[k], None)
-                if len(whole) >= self.min_words:
+                if len(whole) >= self.min_words and (full.get(n, 0) >= len(whole) or self._distance(n, whole, stream, d - q) == 0):
                     full[n] = max(full.get(n, 0), len(whole))
                 elif self.max_edits:
                     later.append((n, lo, hi, d - q))

@@ -3,8 +3,8 @@
 The texts of each source, in the order of a hash of their id, form one stream of
 tokens that is cut into blocks of ``BLOCK`` tokens. A mix is made of shards of
 ``SLOTS`` blocks. Source counts per shard come from splitting the mix's counts
-down a binary tree by draws without replacement, so each shard finds its own
-counts alone and the sums are exact. The k-th slot of a source goes to block
+down a binary tree by multinomial draws held within what is left, so each shard finds
+its own counts alone and the sums are exact, at every size alike. The k-th slot of a source goes to block
 ``perm(k mod n)`` of pass ``k div n``, by a keyed permutation of the source's n
 blocks, and blocks are joined by their number: no source is sorted or sampled,
 and no block comes more often than there are passes.
@@ -105,14 +105,14 @@ def allot(shares: dict[str, float], caps: dict[str, int], total: int) -> dict[st
 
 
 def _draw(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
-    """``n`` of ``counts`` without replacement; for very large counts multinomial, held within the counts."""
-    if counts.sum() < 10**9:
-        return rng.multivariate_hypergeometric(counts, n, method="marginals")
-    lo, hi = np.maximum(0, n - (counts.sum() - counts)), counts
-    out = np.clip(rng.multinomial(n, counts / counts.sum()), lo, hi)
-    while (d := n - out.sum()) != 0:
-        i = int(np.argmax(hi - out if d > 0 else out))
-        out[i] += np.clip(d, -out[i], hi[i] - out[i])
+    """``n`` slots of sources with ``counts`` left: multinomial, held within what is left of each; what that takes goes where most is left."""
+    total = int(counts.sum())
+    lo, hi = np.maximum(0, n - (total - counts)), counts
+    out = np.clip(rng.multinomial(n, counts / total), lo, hi)
+    while (d := n - int(out.sum())) != 0:
+        room = hi - out if d > 0 else out - lo
+        i = int(np.argmax(room))
+        out[i] += min(d, room[i]) if d > 0 else -min(-d, room[i])
     return out
 
 

@@ -109,11 +109,12 @@ def collapse_runs(rows: DataFrame, tolerance: float = TOLERANCE, segment: int =
     # Pieces at a segment's edge: the first and the last; all others are whole runs.
     edge = F.max("_piece").over(W.partitionBy(*run, "seg"))
     pieces = pieces.withColumn("_edge", (F.col("_piece") == 1) | (F.col("_piece") == edge))
-    # Only runs with more than one segment need joining; elsewhere every piece is whole.
-    v = W.partitionBy(*run, "_edge").orderBy("first_line_no")
+    # Edges of a run meet, two a segment at most; every other piece is on its own and goes where its segment and number send it.
+    pieces = pieces.withColumn("_at", F.when(F.col("_edge"), -1).otherwise(F.col("seg"))).withColumn("_in", F.when(F.col("_edge"), -1).otherwise(F.col("_piece")))
+    v = W.partitionBy(*run, "_at", "_in").orderBy("first_line_no")
     before = F.lag(F.struct("seg", "tail")).over(v)
     joined = F.col("_edge") & before.isNotNull() & (before["seg"] != F.col("seg")) & same_action(before["tail"], F.col("head"), tolerance)
     pieces = pieces.withColumn("_start", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
-    pieces = pieces.withColumn("_id", F.when(F.col("_edge"), F.sum("_start").over(v.rowsBetween(W.unboundedPreceding, 0))).otherwise(-F.row_number().over(v)))
-    runs = _sum_up(pieces, [*run, "_id"])
+    pieces = pieces.withColumn("_id", F.sum("_start").over(v.rowsBetween(W.unboundedPreceding, 0)))
+    runs = _sum_up(pieces, [*run, "_at", "_in", "_id"])
     return runs.select(*run, F.col("head.kind").alias("kind"), "first_line_no", "last_line_no", "n_rows", ((F.unix_micros("ended") - F.unix_micros("began")) / F.lit(1e6)).alias("duration_s"))

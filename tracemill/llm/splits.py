@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.text import bare_task, file_name, task_of_file
-from tracemill.session import cut
+from tracemill.session import cut, discard
 
 MAX_ROUNDS = 60
 
@@ -46,8 +46,9 @@ def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     e = cut(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "edges")
     state = _state(e)
     for _ in range(max_rounds):
-        e = cut(_small_star(_large_star(e)), "edges")
+        old, e = e, cut(_small_star(_large_star(e)), "edges")
         state, before = _state(e), state
+        discard(old)
         if state == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
@@ -75,7 +76,7 @@ def related_groups(entities: DataFrame) -> DataFrame:
 def split_of(group: Column, shares: Sequence[tuple[str, float]] = (("train", 0.8), ("validation", 0.1), ("test", 0.1)), seed: int = 0) -> Column:
     """The split whose range holds the hash of ``group``; shares are in proportion to their sum."""
     total, at, out = sum(s for _, s in shares), 1.0, F.lit(shares[-1][0])
-    u = F.pmod(F.xxhash64(F.lit(seed), group), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), group)), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     for name, share in reversed(shares[:-1]):
         at -= shares[[n for n, _ in shares].index(name) + 1][1] / total
         out = F.when(u < at, name).otherwise(out)

@@ -23,7 +23,7 @@ def one_form(c: str) -> str:
 
 
 def folded(c: str) -> str:
-    return f"translate(lower(regexp_replace({one_form(c)}, '</?[A-Za-z][^<>\\n]{{0,200}}>', ' ', 'g')), {_text(''.join(map(chr, _FOLDED)))}, {_text(''.join(_FOLDED.values()))})"
+    return f"translate(lower(regexp_replace({one_form(c)}, '</?[A-Za-z][^<>\\n]*>', ' ', 'g')), {_text(''.join(map(chr, _FOLDED)))}, {_text(''.join(_FOLDED.values()))})"
 
 
 def _windows(table: str, key: str, c: str) -> str:
@@ -49,6 +49,9 @@ r AS (SELECT *, sum(new) OVER (PARTITION BY task_id, run_no ORDER BY line_no) AS
 SELECT task_id, run_no, min(line_no) AS first_line_no, max(line_no) AS last_line_no FROM r GROUP BY task_id, run_no, r HAVING count(*) >= 2
 """
 
+P3_RUNS = P3.replace("SELECT task_id, run_no, line_no,\n    CASE WHEN j IS NOT NULL THEN json_extract_string", "SELECT task_id, run_no, line_no, executed_at,\n    CASE WHEN j IS NOT NULL THEN json_extract_string").replace("a AS (SELECT task_id, run_no, line_no,", "a AS (SELECT task_id, run_no, line_no, executed_at,")
+P3_RUNS = P3_RUNS[: P3_RUNS.rindex("SELECT task_id")] + "SELECT task_id, run_no, any_value(kind) AS kind, min(line_no) AS first_line_no, max(line_no) AS last_line_no, count(*) AS n_rows, (epoch_us(max(executed_at)) - epoch_us(min(executed_at))) / 1e6 AS duration_s FROM r GROUP BY task_id, run_no, r"
+
 P5 = r"""
 WITH RECURSIVE f AS (SELECT sample_id, lower(regexp_replace(regexp_replace(url_decode(unnest(images)), '^\s+|\s+$', '', 'g'), '^.*[/\\]', '')) AS name FROM dpo_sample),
 h AS (SELECT 'sample' AS record_type, sample_id AS record_id, '1' || name AS e FROM f WHERE name <> ''
@@ -62,6 +65,14 @@ g AS (SELECT node, min(other) AS c FROM reach GROUP BY node)
 SELECT l.record_type, l.record_id, CASE WHEN starts_with(g.c, '0') THEN substring(g.c, 2) END AS group_task_id FROM l JOIN g ON g.node = l.m
 """
 
+P5_SPLITS = P5.replace("AS group_task_id FROM", """AS group_task_id,
+  CASE WHEN ('0x' || left(md5('0/' || g.c), 8))::BIGINT / 4294967296 < 0.8 THEN 'train' WHEN ('0x' || left(md5('0/' || g.c), 8))::BIGINT / 4294967296 < 0.9 THEN 'validation' ELSE 'test' END AS split FROM""")
+
+P8_CLASSES = f"""
+WITH d AS (SELECT doc_id, text, {one_form('text')} AS f FROM documents WHERE text IS NOT NULL), c AS (SELECT f, min(doc_id) AS class_id, count(DISTINCT text) AS n_spellings FROM d GROUP BY f)
+SELECT d.doc_id, c.class_id, c.n_spellings FROM d JOIN c ON d.f = c.f
+"""
+
 P8 = f"""
 WITH d AS (SELECT doc_id, text, {one_form('text')} AS f FROM documents WHERE text IS NOT NULL)
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.f = b.f AND a.doc_id < b.doc_id AND a.text <> b.text
@@ -78,4 +89,4 @@ SELECT pool_id, image_id FROM v a
 WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.pool_id = a.pool_id AND b.image_id < a.image_id AND array_cosine_distance(a.e, b.e) < 0.08)
 """
 
-ORACLE = {"p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p8_found": P8}
+ORACLE = {"p3_runs": P3_RUNS, "p5_splits": P5_SPLITS, "p8_classes": P8_CLASSES, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p8_found": P8}
