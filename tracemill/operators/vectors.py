@@ -131,3 +131,15 @@ def valid_indices(selection: DataFrame, keys: list[str], indices: str, total: st
     t = selection.select(*keys, F.col(total).alias("_total"), F.posexplode(indices).alias("_at", "index")).where("index >= 0 AND index < _total")
     t = t.groupBy(*keys, "index").agg(F.min("_at").alias("_at"))
     return t.select(*keys, F.row_number().over(W.partitionBy(*keys).orderBy("_at")).cast("bigint").alias("pos"), F.col("index").cast("bigint").alias("index"))
+
+
+def chosen_paths(valid: DataFrame, images: DataFrame, keys: list[str], reasons: DataFrame | None = None) -> DataFrame:
+    """(keys, pos, index, path, reason) of chosen indices (as from ``valid_indices``) over numbered images (keys, index, path).
+
+    ``reasons`` (keys, at, index, reason): the last of an index holds; '' where there is none.
+    """
+    out = valid.join(images.select(*keys, "index", "path"), [*keys, "index"])
+    if reasons is None:
+        return out.select(*keys, "pos", "index", "path", F.lit("").alias("reason"))
+    last = reasons.groupBy(*keys, "index").agg(F.max_by("reason", "at").alias("reason"))
+    return out.join(last, [*keys, "index"], "left").select(*keys, "pos", "index", "path", F.coalesce("reason", F.lit("")).alias("reason"))
