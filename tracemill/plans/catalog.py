@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.functions import actions, parse, render, text
-from tracemill.operators import dedupe, mining, ranks, resume, steps, tasks, vectors, verdicts
+from tracemill.operators import dedupe, mining, models, ranks, resume, steps, tasks, vectors, verdicts
+from tracemill.session import new_path
+from tracemill.sources import files, sinks
 from tracemill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -352,7 +355,7 @@ _PATHS = rf"""{_TASKS}, c AS (SELECT step, domain, task_id, config_id, instructi
 
 def _declared(s: SparkSession, d: str) -> DataFrame:
     t = _tasks(s, d)
-    return t.select("step", "domain", "task_id", "instruction", mining.declared_paths(F.col("config"), F.col("provide_info")).alias("paths"), mining.bare_launch(F.col("config")).alias("bare_launch"), render.info_text(F.col("provide_info")).alias("info"))
+    return t.select("step", "domain", "task_id", "config_id", "instruction", mining.declared_paths(F.col("config"), F.col("provide_info")).alias("paths"), mining.bare_launch(F.col("config")).alias("bare_launch"), render.info_text(F.col("provide_info")).alias("info"))
 
 
 @query(f"WITH {_PATHS} SELECT step, domain, task_id, coalesce(paths, '') AS paths, bare_launch, info FROM d")
@@ -361,14 +364,31 @@ def declared_paths(s: SparkSession, d: str) -> DataFrame:
     return _declared(s, d).select("step", "domain", "task_id", _joined(F.col("paths")).alias("paths"), "bare_launch", "info")
 
 
-@query(f"""WITH {_PATHS} SELECT step, domain, task_id, 'Write 3 new desktop tasks for ' || domain || '.' || chr(10) || 'Cover what earlier tasks leave out.' || chr(10) || chr(10) || 'Information:' || chr(10) || info || chr(10) || chr(10)
+_GAPS = """gaps AS (SELECT step, domain, string_agg(c, chr(10) ORDER BY verify_id) AS gaps FROM (SELECT step, domain, verify_id, 'task_id: ' || task_id || ': ' || coalesce(analysis, '') AS c, row_number() OVER (PARTITION BY step, domain ORDER BY verify_id) AS n FROM weak) WHERE n <= 20 GROUP BY ALL)"""
+
+
+@query(f"""WITH {_PATHS}, {_WEAK}, {_GAPS},
+  told AS (SELECT step, domain, {_even('instruction')} AS instruction, min(task_id) AS task_id FROM tasks WHERE {_even('instruction')} <> '' GROUP BY ALL),
+  prior AS (SELECT step, domain, string_agg('- ' || instruction, chr(10) ORDER BY n) AS prior FROM (SELECT *, row_number() OVER (PARTITION BY step, domain ORDER BY task_id, instruction) AS n FROM told) WHERE n <= 50 GROUP BY ALL),
+  modes AS (SELECT step, domain, CAST(NULL AS VARCHAR) AS gaps FROM (SELECT DISTINCT step, domain FROM tasks) UNION ALL SELECT * FROM gaps)
+SELECT d.step, d.domain, d.task_id, m.gaps IS NOT NULL AS with_gaps, 'Write 3 new desktop tasks for ' || d.domain || '.' || chr(10)
+  || coalesce('Aim at these gaps of the student and name for every task those it aims at in targets_student_gaps:' || chr(10) || m.gaps, 'Cover what earlier tasks leave out.') || chr(10) || chr(10)
+  || coalesce('Configuration:' || chr(10) || d.config_id || chr(10) || chr(10), '') || 'Information:' || chr(10) || info || chr(10) || chr(10)
   || CASE WHEN paths IS NOT NULL THEN 'Files in place:' || chr(10) || '- ' || replace(paths, '|', chr(10) || '- ') ELSE 'No file is put in place; a task must not name one.' END || CASE WHEN bare_launch THEN chr(10) || 'A program starts without a file.' ELSE '' END
-  || chr(10) || chr(10) || 'Earlier tasks:' || chr(10) || coalesce(instruction, '') || chr(10) || chr(10) || 'Answer with a JSON object that has a list "queries".' AS prompt FROM d""")
+  || chr(10) || chr(10) || 'Earlier tasks:' || chr(10) || coalesce(p.prior, '(none)') || chr(10) || chr(10) || 'Answer with a JSON object that has a list "queries" of 3 objects with instruction, rationale and reference_config_id.' AS prompt
+FROM d JOIN modes m ON m.step = d.step AND m.domain = d.domain LEFT JOIN prior p ON p.step = d.step AND p.domain = d.domain""".replace("SELECT t.step, t.domain, t.task_id, t.instruction,", "SELECT t.step, t.domain, t.task_id, t.config_id, t.instruction,"))
 def generation_prompts(s: SparkSession, d: str) -> DataFrame:
-    """Prompts for new tasks on the ground of each configuration."""
-    t = _declared(s, d)
+    """Prompts for new tasks on the ground of each configuration, with the domain's earlier tasks; once more, aimed at gaps, where the student has any."""
+    t, by = _declared(s, d), ["step", "domain"]
+    told = mining.distinct_instructions(t, by, "instruction", "task_id").withColumn("n", F.row_number().over(W.partitionBy(*by).orderBy("task_id", "instruction"))).where("n <= 50")
+    prior = told.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "instruction"))), lambda x: F.concat(F.lit("- "), x["instruction"])).alias("_p")).select(*by, F.array_join("_p", "\n").alias("prior"))
+    weak = _weak(_verdicts(s, d)).withColumn("n", F.row_number().over(W.partitionBy(*by).orderBy("verify_id"))).where("n <= 20")
+    case = render.filled("task_id: {t}: {a}", t=F.col("task_id"), a=F.col("analysis"))
+    gaps = weak.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", case.alias("c")))), lambda x: x["c"]).alias("_g")).select(*by, F.array_join("_g", "\n").alias("gaps"))
+    modes = t.select(*by).distinct().withColumn("gaps", F.lit(None).cast("string")).union(gaps)
     w = render.workspace_text(F.col("paths"), F.col("bare_launch"))
-    return t.select("step", "domain", "task_id", render.generation_prompt(F.col("domain"), F.col("info"), w, F.col("instruction"), F.lit(None).cast("string")).alias("prompt"))
+    p = render.generation_prompt(F.col("domain"), F.col("info"), w, F.col("prior"), F.col("gaps"), F.col("config_id"))
+    return t.join(prior, by, "left").join(modes, by).select("step", "domain", "task_id", F.col("gaps").isNotNull().alias("with_gaps"), p.alias("prompt"))
 
 
 @query("SELECT query_id, coalesce(nullif(reference_config_id, ''), nullif(config_id, '')) AS config_id FROM generated_query WHERE coalesce(nullif(reference_config_id, ''), nullif(config_id, '')) IS NOT NULL")
@@ -484,3 +504,59 @@ FROM dpo_sample d JOIN first_named n ON n.sample_id = d.sample_id JOIN inst g ON
 def preference_samples(s: SparkSession, d: str) -> DataFrame:
     """Preference samples end to end: gated tasks, parsed and compared sides, rendered prompt and answers; answers without tag and action line are parted by their intent."""
     return _rendered(_paired(s, d), _gated(s, d, _keyed_verdicts(s, d)), _tasks(s, d))
+
+
+# Tables written as the files that runs leave, and read back.
+@query(f"""WITH {_TASKS} SELECT step || '_' || domain || '_' || task_id AS task_id, instruction, array_to_string(provide_info, '|') AS info, CAST(len(config) AS BIGINT) AS n_steps, array_to_string(list_transform(config, lambda c: coalesce(c.type, '~')), '|') AS types FROM tasks""")
+def task_files(s: SparkSession, d: str) -> DataFrame:
+    """Tasks written as a document each and read as configurations; the file's stem is the id."""
+    folder = new_path(s, "task-files")
+    t = _tasks(s, d).select(F.concat_ws("_", "step", "domain", "task_id").alias("name"), F.to_json(F.struct(F.lit("x").alias("id"), "config_id", "instruction", "provide_info", "config")).alias("doc"))
+    sinks.write_per_task(t, folder, "name", "doc")
+    return files.task_configs(s, folder).select("task_id", "instruction", _joined(F.col("provide_info")).alias("info"), F.size("config").cast("bigint").alias("n_steps"), _joined(F.transform("config", lambda c: c["type"])).alias("types"))
+
+
+@query("""SELECT l AS json, count(*) AS n FROM (SELECT regexp_replace(action, '[\r\n]', ' ', 'g') AS l FROM trajectory_row WHERE action IS NOT NULL) WHERE json_valid(l) AND regexp_matches(l, '\\S') GROUP BY l""")
+def action_lines(s: SparkSession, d: str) -> DataFrame:
+    """Actions written as lines and read permissively: only those that are JSON are left."""
+    folder = new_path(s, "action-lines")
+    table(s, d, "trajectory_row").where("action IS NOT NULL").select(F.regexp_replace("action", r"[\r\n]", " ").alias("value")).write.text(folder)
+    return files.json_lines(s, folder, strict=False).groupBy("json").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT verify_id, {_strip('task_id')} AS task_id, agent_pass, error, CAST(coalesce(len(attempt_results), -1) AS BIGINT) AS n_attempts FROM (SELECT *, row_number() OVER (PARTITION BY verify_id ORDER BY judged_at NULLS FIRST) AS rn FROM verify_result) WHERE rn = 1 AND {_strip('task_id')} <> ''""")
+def verdict_files(s: SparkSession, d: str) -> DataFrame:
+    """Verdicts written as a list document per step, domain and agent and read as typed rows; the id travels as the trajectory's path."""
+    folder, by = new_path(s, "verdict-files"), ["step", "domain", "agent"]
+    v = dedupe.keep_first(table(s, d, "verify_result"), ["verify_id"], ["judged_at"]).withColumn("traj_path", F.col("verify_id").cast("string"))
+    kept = F.to_json(F.struct("task_id", "traj_path", "agent_pass", "attempt_results", "error"))
+    part = F.floor(F.col("verify_id") / 10_000).alias("part")  # a document's list does not grow with the table
+    docs = v.groupBy(*by, part).agg(F.concat(F.lit("["), F.array_join(F.collect_list(kept), ","), F.lit("]")).alias("doc"))
+    sinks.write_per_task(docs.select(F.md5(F.concat_ws("/", *by, F.col("part").cast("string"))).alias("name"), "doc"), folder, "name", "doc")
+    t = verdicts.task_records(files.verify_results(s, folder))
+    return t.select(F.col("traj_path").cast("bigint").alias("verify_id"), "task_id", "agent_pass", "error", F.coalesce(F.size("attempt_results"), F.lit(-1)).cast("bigint").alias("n_attempts"))
+
+
+@query(rf"""WITH {_GATE} SELECT g.step, g.domain, g.task_id, CAST(count(DISTINCT t.run_no) AS BIGINT) AS n_runs FROM gated g JOIN trajectory_row t ON t.task_id = g.task_id AND t.agent = 'teacher' GROUP BY ALL""")
+def replayed_runs(s: SparkSession, d: str) -> DataFrame:
+    """Teacher's runs of gated tasks that a student is to be replayed on."""
+    runs = table(s, d, "trajectory_row").where("agent = 'teacher'").select("task_id", "run_no").distinct()
+    return _gated(s, d, _keyed_verdicts(s, d)).join(runs, "task_id").groupBy("step", "domain", "task_id").agg(F.count("*").alias("n_runs"))
+
+
+@query(f"""WITH {_STEPS}, h AS (SELECT *, row_number() OVER w AS rn, lag(coalesce(response, '')) OVER w AS before, lag(screenshot_file, 1, screenshot_file) OVER w AS seen FROM s WINDOW w AS (PARTITION BY task_id, run_no ORDER BY step))
+SELECT task_id, run_no, step, response AS teacher_response, CASE WHEN rn = 1 THEN 'first' ELSE 'after ' || before END AS student_response, coalesce(seen, 'none') AS student_action FROM h""")
+def forced_replay(s: SparkSession, d: str) -> DataFrame:
+    """A student that tells what it sees, replayed on all runs: it sees the teacher's answers, never its own."""
+    g = steps.input_screenshot(steps.group_by_step(_lines(s, d)))
+    told = lambda turns, now: ("after " + turns[-1]["response"] if turns else "first", now["screenshot"] or "none")
+    return models.forced_replay(g, told, 1)
+
+
+@query(f"""WITH {_V} SELECT verify_id, CASE WHEN result IS NULL THEN NULL WHEN json_type(rj) = 'OBJECT' THEN CASE WHEN json_type(rj, '$.agent_pass') = 'BOOLEAN' THEN CAST(json_extract_string(rj, '$.agent_pass') AS BOOLEAN) ELSE false END ELSE false END AS agent_pass,
+  CASE WHEN result IS NULL THEN 'no recorded answer' END AS error FROM v""")
+def judged_prompts(s: SparkSession, d: str) -> DataFrame:
+    """Verdicts by the path of a judge's call: a prompt a row, its recorded answer by the prompt's hash, the vote; rows without an answer are errors."""
+    v = _verdicts(s, d).select("verify_id", "result", F.concat_ws("\n", F.col("verify_id").cast("string"), render.judge_prompt(F.col("instruction"), F.array().cast("array<struct<step_num: bigint, response: string, action: string, screenshot_file: string>>"))).alias("prompt"))
+    answers = v.where("result IS NOT NULL").select(F.lit("judge").alias("stage"), F.sha2("prompt", 256).alias("prompt_sha"), F.lit(1).alias("attempt"), F.col("result").alias("output_text"), F.lit(None).cast("string").alias("error"))
+    return models.judged(models.recorded(v.select("verify_id", "prompt"), answers, "judge"), ["verify_id"]).select("verify_id", "agent_pass", "error")

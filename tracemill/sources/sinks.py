@@ -4,38 +4,53 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SMALL = 100_000
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it; works on the driver and on executors."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def put_file(path: str, data: bytes) -> None:
+    """A file in one step: a task that is tried again writes the same file again."""
+    at, p = file_system(path)
+    at.create_dir(os.path.dirname(p), recursive=True)
+    part = f"{p}.{os.getpid()}.part"
+    with at.open_output_stream(part) as f:
+        f.write(data)
+    at.move(part, p)
+
+
 def write_document(path: str, payload: Any) -> None:
     """One JSON document in UTF-8, indented by 2; folders are made."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(payload, f, ensure_ascii=False, indent=2)
-        f.write("\n")
+    put_file(path, (json.dumps(payload, ensure_ascii=False, indent=2) + "\n").encode())
 
 
 def write_list(df: DataFrame, path: str, order: list[str], columns: list[str] | None = None, most: int = SMALL) -> int:
     """Rows as one JSON list, in order. Streams to the file; raises beyond ``most`` rows, for which there is ``write_lines``."""
     cols = columns or df.columns
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    at, p = file_system(path)
+    at.create_dir(os.path.dirname(p), recursive=True)
     n = 0
-    with open(path + ".part", "w", encoding="utf-8") as f:
+    with at.open_output_stream(p + ".part") as f:
         for r in df.orderBy(*order).select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("j")).limit(most + 1).toLocalIterator():
             if n == most:
                 raise ValueError(f"more than {most} rows for one document")
-            f.write(("[\n" if not n else ",\n") + json.dumps(json.loads(r.j), ensure_ascii=False, indent=2))
+            f.write((("[\n" if not n else ",\n") + json.dumps(json.loads(r.j), ensure_ascii=False, indent=2)).encode())
             n += 1
-        f.write("\n]\n" if n else "[]\n")
-    os.replace(path + ".part", path)
+        f.write(b"\n]\n" if n else b"[]\n")
+    at.move(p + ".part", p)
     return n
 
 
@@ -54,12 +69,8 @@ def write_per_task(df: DataFrame, folder: str, key: str, value: str) -> int:
 
     def put(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            os.makedirs(folder, exist_ok=True)
             for k, v in zip(pdf[key], pdf[value]):
-                part = f"{folder}/{k}.json.{os.getpid()}.part"
-                with open(part, "w", encoding="utf-8") as f:
-                    json.dump(json.loads(v), f, ensure_ascii=False, indent=2)
-                os.replace(part, f"{folder}/{k}.json")  # a retried task writes the same file again
+                put_file(f"{folder}/{k}.json", json.dumps(json.loads(v), ensure_ascii=False, indent=2).encode())
             yield pd.DataFrame({"n": [len(pdf)]})
 
     return df.select(key, value).mapInPandas(put, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -75,10 +86,11 @@ def write_manifest(manifests: DataFrame, path: str, domain: str = "domain", ids:
 
 def upsert_registry(path: str, name: str, file_name: str) -> None:
     """The entry of a preference dataset in a registry document; other entries stay."""
-    known = {}
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            known = json.load(f)
+    known, (at, p) = {}, file_system(path)
+    if at.get_file_info(p).type != fs.FileType.NotFound:
+        with at.open_input_stream(p) as f:
+            known = json.loads(f.read())
+    # The member names of a registry entry.
     known[name] = {"file_name": file_name, "ranking": True, "formatting": "sharegpt", "columns": {"messages": "conversations", "chosen": "chosen", "rejected": "rejected", "images": "images"}}
     write_document(path, known)
 
@@ -90,9 +102,9 @@ def copy_images(df: DataFrame, source: str, target: str, order: list[str]) -> in
     def copy(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for a, b in zip(pdf[source], pdf[target]):
-                os.makedirs(os.path.dirname(b) or ".", exist_ok=True)
-                shutil.copyfile(a, f"{b}.{os.getpid()}.part")
-                os.replace(f"{b}.{os.getpid()}.part", b)
+                at, p = file_system(a)
+                with at.open_input_stream(p) as f:
+                    put_file(b, f.read())
             yield pd.DataFrame({"n": [len(pdf)]})
 
     return pairs.mapInPandas(copy, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
