@@ -124,6 +124,17 @@ def test_vectors(spark):
     assert [tuple(r)[1:] for r in vectors.valid_indices(sel, ["pool_id"], "indices", "total").orderBy("pos").collect()] == [(1, 3), (2, 0)]
 
 
+def test_farthest_points_of_many_blocks(spark):
+    """More rows a block than are named a round, and rows that tie."""
+    x = np.random.default_rng(1).normal(size=(600, 5))
+    x[100:110] = x[100]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(1, i, r.tolist()) for i, r in enumerate(x)], "pool_id long, image_id long, embedding array<double>")
+    one = lambda n, name: spark.createDataFrame([(1, n)], f"pool_id long, {name} long")
+    got = vectors.farthest_points(df, one(7, "image_id"), one(120, "n"), "pool_id", "image_id", "embedding", 200).orderBy("pick_no").collect()
+    assert [r.image_id for r in got] == plain_farthest(u, 120, 7)
+
+
 def test_models(spark):
     prompts = spark.createDataFrame([("t1", "p1"), ("t2", "p2"), ("t3", "p3")], "task_id string, prompt string")
     sha = lambda p: F.sha2(F.lit(p), 256)

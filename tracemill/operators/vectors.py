@@ -8,15 +8,18 @@ null are left out; a pool's vectors have one length.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracemill.session import cut
+from tracemill.session import cut, discard
 
 BLOCK = 1024
+NAMED = 64
 
 
 def unit_vectors(df: DataFrame, pool: str, key: str, vector: str) -> DataFrame:
@@ -73,11 +76,40 @@ def _farthest(x: np.ndarray, picks: list[int], n: int) -> list[int]:
     return picks
 
 
+def _nearer(rows: pd.DataFrame, picks: pd.DataFrame) -> pd.DataFrame:
+    """A block's rows with their least distance to all picks (-1 for picks); the ``NAMED`` farthest are named, ``_edge`` is the distance from which on others may lie."""
+    out = rows[["_pool", "_block", "_id", "_x", "_n", "_least"]].sort_values("_id", kind="stable").reset_index(drop=True)
+    least = out["_least"].to_numpy(dtype=float).copy()
+    if len(out) and len(picks):
+        least = np.minimum(least, (1 - np.stack(out["_x"].to_numpy()) @ np.stack(picks["_x"].to_numpy()).T).min(1))
+        least[out["_id"].isin(picks["_id"]).to_numpy()] = -1
+    order = np.argsort(-least, kind="stable")
+    named = np.zeros(len(out), bool)
+    named[order[:NAMED]] = True
+    return out.assign(_least=least, _edge=least[order[NAMED]] if len(out) > NAMED else -2.0, _named=named)
+
+
+def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The next picks of a pool from its blocks' named rows, as long as no other row can be farther."""
+    pdf = pdf.sort_values("_id", kind="stable").reset_index(drop=True)
+    x, least, edge = np.stack(pdf["_x"].to_numpy()), pdf["_least"].to_numpy(dtype=float).copy(), pdf["_edge"].max()
+    have, n, picks = int(pdf["_have"].iloc[0]), int(pdf["_n"].iloc[0]), []
+    while have + len(picks) < n:
+        i = int(np.argmax(least))
+        if picks and least[i] <= edge or least[i] < 0 and len(picks):
+            break
+        picks.append(i)
+        least = np.minimum(least, 1 - x @ x[i])
+        least[picks] = -1
+    return pdf.iloc[picks][["_pool", "_id", "_x"]].assign(pick_no=np.arange(have + 1, have + 1 + len(picks)))
+
+
 def farthest_points(df: DataFrame, seeds: DataFrame, wanted: DataFrame, pool: str, key: str, vector: str, block: int = BLOCK) -> DataFrame:
     """(pool, key, pick_no): ``n`` picks of each pool, from its seed on (``seeds``: pool, key; ``wanted``: pool, n).
 
     A pool with no more than n rows gives all in order of key. Pools of one block are done in one
-    task; in larger ones each round every block names its farthest row and the farthest of those is picked.
+    task; in larger ones each round every block names its ``NAMED`` farthest rows, and picks are made among
+    those until a row that was not named might be farther. So a round makes many picks, and they are exact.
     """
     names = dict(df.dtypes)
     rows = cut(unit_vectors(df, pool, key, vector), "unit")
@@ -98,23 +130,21 @@ def farthest_points(df: DataFrame, seeds: DataFrame, wanted: DataFrame, pool: st
     all_ = t.where("_blocks > 1 AND _n >= _size").select("_pool", "_id", F.row_number().over(W.partitionBy("_pool").orderBy("_id")).cast("bigint").alias("pick_no"))
     large = t.where("_blocks > 1 AND _n < _size")
     picks = cut(large.where("_id = _seed").select("_pool", "_id", "_x", F.lit(1).cast("bigint").alias("pick_no")), "picks")
-    most = large.agg(F.max("_n")).first()[0] or 0
-    for r in range(2, most + 1):
-        sent = picks.join(size, "_pool").select("_pool", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_block"), "_id", "_x")
-
-        def farthest(a: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(p):
-                return pd.DataFrame({"_pool": [], "_id": [], "_x": [], "_d": []})
-            a = a.sort_values("_id", kind="stable")
-            d = (1 - np.stack(a["_x"].to_numpy()) @ np.stack(p["_x"].to_numpy()).T).min(1)
-            d[a["_id"].isin(p["_id"]).to_numpy()] = -1
-            i = int(np.argmax(d))
-            return a.iloc[[i]][["_pool", "_id", "_x"]].assign(_d=d[i])
-
-        best = large.where(F.col("_n") >= r).select("_pool", "_block", "_id", "_x").groupBy("_pool", "_block").cogroup(sent.groupBy("_pool", "_block")).applyInPandas(farthest, f"_pool {names[pool]}, _id {names[key]}, _x array<double>, _d double")
-        top = best.withColumn("_r", F.row_number().over(W.partitionBy("_pool").orderBy(F.desc("_d"), "_id"))).where("_r = 1").select("_pool", "_id", "_x", F.lit(r).cast("bigint").alias("pick_no"))
-        picks = cut(picks.union(top), "picks")
-    out = small.union(all_).union(picks.select("_pool", "_id", "pick_no"))
+    state = large.select("_pool", "_block", "_id", "_x", "_n", F.lit(2.0).alias("_least"))
+    parts, fresh = [picks], picks
+    blocks = size.select("_pool", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_block"))
+    kinds = f"_pool {names[pool]}, _block bigint, _id {names[key]}, _x array<double>, _n bigint, _least double, _edge double, _named boolean"
+    while not fresh.isEmpty():
+        # every row keeps its least distance to the picks so far, so only the newest picks are sent; a block names its farthest rows
+        sent = fresh.join(blocks, "_pool").select("_pool", "_block", "_id", "_x")
+        told = cut(state.groupBy("_pool", "_block").cogroup(sent.groupBy("_pool", "_block")).applyInPandas(_nearer, kinds), "least")
+        discard(state)
+        state = told
+        have = functools.reduce(DataFrame.union, parts).groupBy("_pool").agg(F.max("pick_no").alias("_have"))
+        asked = told.where("_named").join(have, "_pool").where("_have < _n")
+        fresh = cut(asked.groupBy("_pool").applyInPandas(_choose, f"_pool {names[pool]}, _id {names[key]}, _x array<double>, pick_no bigint"), "picks")
+        parts.append(fresh)
+    out = small.union(all_).union(functools.reduce(DataFrame.union, parts).select("_pool", "_id", "pick_no"))
     return out.select(F.col("_pool").alias(pool), F.col("_id").alias(key), "pick_no")
 
 
