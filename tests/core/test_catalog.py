@@ -2,7 +2,6 @@
 
 import glob
 import os
-import re
 
 import duckdb
 import numpy as np
@@ -32,14 +31,14 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(entry.catalog.ORACLE))
 def test_query_against_sql(spark, duck, name):
     got, want = entry.queries()[name](spark, D).toPandas(), duck.sql(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert plain(got) == plain(want)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in set(entry.queries()) - set(entry.oracle_sql()) if not re.match(r"p\d", n)))
+@pytest.mark.parametrize("name", sorted(set(entry.catalog.QUERIES) - set(entry.catalog.ORACLE)))
 def test_other_queries_run(spark, name):
     assert entry.queries()[name](spark, D).count() > 0
 

@@ -99,6 +99,18 @@ def plain_farthest(x, n, seed):
     return picks
 
 
+def test_lookups_and_limits(spark):
+    t = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "task_id string")
+    doc = "stem string, json string, path string"
+    one = spark.createDataFrame([("a", '{"instruction": " x "}', "1/a"), ("b", "{broken", "1/b"), ("c", '{"instruction": null}', "1/c")], doc)
+    two = spark.createDataFrame([("a", '{"instruction": "y"}', "2/a"), ("b", '{"instruction": "z"}', "2/b"), ("d", '{"id": 1}', "2/d")], doc)
+    got = {r.task_id: (r.instruction, r.path) for r in tasks.instruction_lookup(t, [one, two]).collect()}
+    assert got == {"a": ("x", "1/a"), "b": ("z", "2/b"), "c": ("None", "1/c"), "d": ("", "2/d"), "e": (None, None)}
+    assert [r.task_id for r in tasks.first_ids(t, 2).collect()] == ["a", "b"] and tasks.first_ids(t, 0).count() == tasks.first_ids(t, None).count() == 5
+    f = resume.finished_ids(spark.createDataFrame([("d", "b"), ("d", "a"), ("d", "a"), (None, "c"), ("e", None)], "domain string, task_id string"))
+    assert sorted((str(r.domain), r.n, tuple(r.task_ids)) for r in f.collect()) == [("None", 1, ("c",)), ("d", 2, ("a", "b"))]
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(90, 6))

@@ -15,6 +15,14 @@ def unfinished(tasks: DataFrame, finished: DataFrame, keys: list[str]) -> DataFr
     return tasks.join(finished.select(*keys).distinct(), keys, "left_anti")
 
 
+def finished_ids(finished: DataFrame, domain: str = "domain", key: str = "task_id", chunk: int = 10_000) -> DataFrame:
+    """(domain, chunk, n, task_ids): finished ids of every domain, each once, in chunks by hash so that no list grows with the data."""
+    t = finished.select(domain, key).where(F.col(key).isNotNull()).distinct()
+    size = t.groupBy(domain).agg(F.ceil(F.count("*") / F.lit(chunk)).alias("_chunks"))
+    t = t.join(size.withColumnRenamed(domain, "_d"), F.col(domain).eqNullSafe(F.col("_d"))).withColumn("chunk", F.pmod(F.xxhash64(key), F.col("_chunks")))
+    return t.groupBy(domain, "chunk").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(key)).alias("task_ids"))
+
+
 def cache_split(tasks: DataFrame, cached: DataFrame, keys: list[str]) -> DataFrame:
     """Tasks with ``reused``: whether the cache holds them. Cached keys that are no task drop out."""
     c = cached.select(*keys).distinct().withColumn("_hit", F.lit(True))

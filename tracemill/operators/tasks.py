@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import json_has, non_empty
+from tracemill.functions.text import json_has, json_object, non_empty, strip
 from tracemill.operators.ranks import number_rows
 from tracemill.operators.resume import expect_complete
 
@@ -66,3 +66,23 @@ def manifest_rows(manifests: DataFrame, json: str) -> DataFrame:
 def upsert(registry: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``registry`` with the rows of ``new`` in place of those of the same key; other keys stay."""
     return registry.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def instruction_lookup(tasks: DataFrame, candidates: list[DataFrame]) -> DataFrame:
+    """(task_id, instruction, path): from the first of ``candidates`` (stem, json, path) that has a task's document and can be read.
+
+    The instruction is stripped; one that is JSON null is the text ``None``, one that is absent is empty. Tasks without a document have nulls.
+    """
+    out = tasks.select("task_id").distinct()
+    found = []
+    for i, c in enumerate(candidates):
+        said = F.when(json_has(F.col("json"), "instruction"), F.coalesce(F.get_json_object("json", "$.instruction"), F.lit("None"))).otherwise("")
+        d = c.where(json_object(F.col("json")).isNotNull()).groupBy(F.col("stem").alias("task_id")).agg(F.min(F.struct("path", strip(said).alias("instruction"))).alias(f"_c{i}"))
+        out, found = out.join(d, "task_id", "left"), [*found, F.col(f"_c{i}")]
+    first = F.coalesce(*found)
+    return out.select("task_id", first["instruction"].alias("instruction"), first["path"].alias("path"))
+
+
+def first_ids(tasks: DataFrame, limit: int | None, key: str = "task_id") -> DataFrame:
+    """The first ``limit`` tasks by id; all when it is None or not above 0."""
+    return tasks.orderBy(key).limit(limit) if limit and limit > 0 else tasks
