@@ -78,6 +78,15 @@ def test_small_tables(spark):
     assert max(r["count"] for r in slots) == 64
 
 
+def test_slots_and_segments_are_never_broadcast(spark):
+    """Both sides grow with the texts, whatever sizes are guessed from ids and counts; only rows per source and bucket go to all tasks."""
+    d = "/root/testdata/sf0.001"
+    mix = mix_sources(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/mix_target.parquet"))
+    plan = mix._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join [" in x and "block_no" in x]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0], plan
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, source string, n_tokens int"
     rows = [(1, None, "a", 0), (2, "", "a", 0), (3, "word " * 50000, " A ", 0), (4, "x y z", None, 0), (4, "x y z", "b-b", 0), (4, "x y z", "B b", 0)]

@@ -78,11 +78,11 @@ def segments(counted: DataFrame, block: int = BLOCK, bucket_rows: int = BUCKET_R
     Places in a source's stream are summed in two steps, over buckets and within them, so no source meets in one task.
     """
     n = counted.groupBy("source").agg(F.ceil(F.count("*") / F.lit(bucket_rows)).alias("_n"))
-    c = counted.join(n, "source").withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.col("_n"))).drop("_n")
+    c = counted.join(F.broadcast(n), "source").withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.col("_n"))).drop("_n")
     sums = c.groupBy("source", "_b").agg(F.sum("n_tokens").alias("_s"))
     sums = sums.select("source", "_b", (F.sum("_s").over(W.partitionBy("source").orderBy("_b")) - F.col("_s")).alias("_base"))
     w = W.partitionBy("source", "_b").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
-    c = c.join(sums, ["source", "_b"]).withColumn("_at", F.col("_base") + F.sum("n_tokens").over(w) - F.col("n_tokens"))
+    c = c.join(F.broadcast(sums), ["source", "_b"]).withColumn("_at", F.col("_base") + F.sum("n_tokens").over(w) - F.col("n_tokens"))
     c = c.where("n_tokens > 0").withColumn("block_no", F.explode(F.sequence(F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("n_tokens") - 1) / block))))
     start = F.col("block_no") * block
     return c.select("source", "block_no", "doc_id", F.greatest(F.lit(0), start - F.col("_at")).alias("from_token"), F.least("n_tokens", start + block - F.col("_at")).alias("to_token"))
@@ -221,7 +221,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: int | None = None, s
     d = docs.select("doc_id", "text", source_name(F.col("source")).alias("source")).join(named, "source", "left_semi")
     counted = cut(count_tokens(d, "doc_id", "text", ["source"], tokenizer), "counted")
     mixes = plan(targets, counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), total, block)
-    return slots(spark, mixes, seed).join(segments(counted, block), ["source", "block_no"]).select("mix_name", "shard", "slot", "source", "repeat_no", "block_no", "doc_id", "from_token", "to_token")
+    # a row of ids makes a shard's slots and a text its blocks, so either side looks small enough to broadcast when it is not
+    return slots(spark, mixes, seed).hint("merge").join(segments(counted, block), ["source", "block_no"]).select("mix_name", "shard", "slot", "source", "repeat_no", "block_no", "doc_id", "from_token", "to_token")
 
 
 def shares_reached(mix: DataFrame, targets: DataFrame) -> DataFrame:
