@@ -23,6 +23,15 @@ def test_gates_differ(spark):
     assert verdicts.gate(t, twice, student, ["verify_id"]).count() == 0
 
 
+def test_passed_keys_are_not_broadcast(spark):
+    """The keys a teacher passed grow with its verdicts, whatever size is guessed for them."""
+    v = spark.range(4).select(F.col("id").alias("verify_id"), F.concat(F.lit("t"), "id").alias("task_id"), (F.col("id") % 2 == 0).alias("agent_pass"))  # of known, small size
+    got = verdicts.weakness_pairs(v, v.withColumn("agent_pass", F.lit(True)), ["task_id"], ["verify_id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "BroadcastHashJoin" not in plan, plan
+    assert sorted(r.task_id for r in got.collect()) == ["t1", "t3"]
+
+
 def test_vote(spark):
     a = [(3, True, "c"), (1, True, "a"), (2, False, "b")]
     df = spark.createDataFrame([(1, a), (2, [(1, True, "x")]), (3, None), (4, []), (5, [(1, None, "n")])], "i int, a array<struct<attempt:int,agent_pass:boolean,result:string>>")
